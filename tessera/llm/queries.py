@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import classify, packing, rules, unigram
 from .common import prepare, table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-neighbour votes for every whole text of documents."""
+    prepare(spark)
+    return classify.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host-level quality rules over every whole text of documents."""
     prepare(spark)
@@ -19,6 +31,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all documents into sequences of 4096."""
+    prepare(spark)
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
+def op10_unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram ids of every whole text, and the text decoded from them."""
+    prepare(spark)
+    return unigram.round_trip(table(spark, sf_dir, "documents"), unigram.Unigram.load(tokenizer_path("piece_bpe_32k.model")))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),

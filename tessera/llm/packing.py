@@ -125,6 +125,22 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, capacity - np.asarray(room, np.int64)
 
 
+def _merger(above: int, capacity: int):
+    """Packs the open bins of one node of the tree; ``above`` marks its level."""
+    names = ["bin", "seq", "shift", "fill", "node"]
+
+    def merge(t: pa.Table) -> pa.Table:
+        if len(t) > MAX_OPEN:
+            return t.select(names)
+        t = t.take(pa.array(np.argsort(t.column("bin").to_numpy())))
+        node = t.column("node")[0].as_py()
+        _, first, back = np.unique(t.column("seq").to_numpy(), return_index=True, return_inverse=True)
+        bins, offsets, fill = best_fit(t.column("fill").to_numpy()[first], capacity)
+        return pa.table([t.column("bin"), pa.array(above + (node << 24) + bins[back]), pa.array(t.column("shift").to_numpy() + offsets[back]), pa.array(fill[bins[back]]), t.column("node")], names)
+
+    return merge
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``items`` (a column ``length`` of 1 to ``capacity`` and any others
     but bin, fill, slot, node) with sequence_id and offset.
@@ -154,18 +170,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     while groups > 1:
         depth += 1
         groups = -(-groups // FAN_IN)
-        above = depth << 58
-
-        def merge(t: pa.Table, above: int = above) -> pa.Table:
-            node = t.column("node")[0].as_py()
-            if len(t) > MAX_OPEN:
-                return t.select(["bin", "seq", "shift", "fill", "node"])
-            t = t.take(pa.array(np.argsort(t.column("bin").to_numpy())))
-            seqs, first, back = np.unique(t.column("seq").to_numpy(), return_index=True, return_inverse=True)
-            bins, offsets, fill = best_fit(t.column("fill").to_numpy()[first], capacity)
-            return pa.table([t.column("bin"), pa.array(above + (node << 24) + bins[back]), pa.array(t.column("shift").to_numpy() + offsets[back]), pa.array(fill[bins[back]]), t.column("node")], ["bin", "seq", "shift", "fill", "node"])
-
-        level = cut(level.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("node").applyInArrow(merge, "bin long, seq long, shift long, fill long, node long"))
+        level = cut(level.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("node").applyInArrow(_merger(depth << 58, capacity), "bin long, seq long, shift long, fill long, node long"))
         final = level if groups == 1 else level.where(F.col("fill") >= full)
         done = final if done is None else done.unionByName(final)
         level = level.where(F.col("fill") < full)

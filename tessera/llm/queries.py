@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, packing, rules, unigram
+from . import classify, licences, packing, rules, unigram, urls, warc
 from .common import prepare, table
 
 
@@ -31,6 +31,53 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every whole text of documents."""
+    prepare(spark)
+    return licences.summary(licences.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and language models judge every url of pages."""
+    prepare(spark)
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+#: The copy that is audited: of every 61st page the first character is lost.
+OP8_REPLICA = "CASE WHEN page_id % 61 = 0 THEN concat('?', substring(payload, 2)) ELSE payload END"
+
+
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive of all pages against a copy with damaged records."""
+    prepare(spark)
+    return warc.audit_pages(table(spark, sf_dir, "pages"), F.expr(OP8_REPLICA))
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS ours,
+    CASE WHEN page_id % 61 = 0 THEN coalesce('?' || substring(html, 2), '') ELSE coalesce(html, '') END AS theirs
+  FROM pages
+),
+r AS (
+  SELECT page_id,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+      || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(ours)
+      || chr(13) || chr(10) || chr(13) || chr(10) || ours || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+    ours = theirs AS same
+  FROM p
+),
+m AS (
+  SELECT page_id, strlen(record)::BIGINT AS length, sha256(record) AS digest, same, count(*)::BIGINT AS copies
+  FROM r GROUP BY ALL
+)
+SELECT page_id, floor(page_id / 1000)::BIGINT AS file,
+  coalesce(sum(length * copies) OVER (PARTITION BY floor(page_id / 1000) ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset,
+  length, copies, digest, CASE WHEN same THEN 'ok' ELSE 'damaged' END AS status
+FROM m
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences of 4096."""
     prepare(spark)

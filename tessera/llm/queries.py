@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, licences, packing, rules, unigram, urls, warc
+from . import classify, fingerprints, licences, packing, rules, unigram, urls, warc
 from .common import prepare, table
 
 
@@ -31,6 +31,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every whole text and its edited form."""
+    prepare(spark)
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every whole text of documents."""
     prepare(spark)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import cut, map_arrow, require
 from .pool import Pool, spread
+from .pool import shared as pool_of
 
 CAPACITY = 4096
 END = 1
@@ -35,26 +36,76 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def word_pool(definition: str) -> Pool:
-    """Units are runs without ASCII white space, which the tokenizer drops."""
+    """Remembers the ids of units, which the tokenizer takes one by one."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-
-    def encode(units: list[bytes]) -> list:
-        out = []
-        for i in range(0, len(units), 2000):
-            out += [e.ids for e in tokenizer.encode_batch([u.decode() for u in units[i : i + 2000]], add_special_tokens=False)]
-        return out
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    mark = max(special, key=special.get) if special else None
+
+    def alone(texts: list[str]) -> list[list[int]]:
+        return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [u.decode() for u in units]
+        odd = [i for i, t in enumerate(texts) if mark is None or "<|" in t]
+        if odd:
+            each = alone(texts)
+            return np.array([i for ids in each for i in ids], np.int32), np.array([len(ids) for ids in each], np.int64)
+        # One call for many units, with a special token between them.
+        flat, lengths = [], []
+        for i in range(0, len(texts), 500):
+            part = texts[i : i + 500]
+            ids = np.array(tokenizer.encode(mark.join(part), add_special_tokens=False).ids, np.int32)
+            at = np.flatnonzero(ids == special[mark])
+            if len(at) != len(part) - 1:
+                raise ValueError("units can't be told apart")
+            flat.append(np.delete(ids, at))
+            lengths.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+        return np.concatenate(flat), np.concatenate(lengths)
 
     return Pool(encode)
 
 
+_KIND = np.zeros(256, np.uint8)  # 0: beyond ASCII or a control character
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+
+
+def units(block: K.Block) -> tuple[K.Block, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of the texts that the tokenizer encodes alone: starts, ends,
+    text numbers, and the block that they lie in.
+
+    It drops white space, lowers case, and never joins an ASCII letter, digit
+    or other sign to one of another kind, nor two digits, but for an
+    apostrophe before letters.  Words with ``<|``, the start of a special
+    token, stay whole and as they are.
+    """
+    begins, ends, of = block.runs(K.NOT_SPACE)
+    d = block.data
+    marked = np.flatnonzero((d[:-1] == 0x3C) & (d[1:] == 0x7C)) if len(d) > 1 else np.zeros(0, np.int64)
+    if not len(marked):
+        block = block.lowered()
+    kind = _KIND[d]
+    a, b = kind[:-1], kind[1:]
+    split = np.flatnonzero((a > 0) & (b > 0) & ((a != b) | (b == 2)) & ~((d[:-1] == 0x27) & (b == 1))) + 1
+    split = split[~np.isin(split, block.starts)] if len(split) else split
+    word = np.searchsorted(begins, split, side="right") - 1
+    if len(marked):
+        keep = ~np.isin(word, np.searchsorted(begins, marked, side="right") - 1)
+        split, word = split[keep], word[keep]
+    begins = np.sort(np.concatenate([begins, split]))
+    ends = np.sort(np.concatenate([ends, split]))
+    return block, begins, ends, np.sort(np.concatenate([of, of[word]]))
+
+
 def block_ids(pool: Pool, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text and ``END`` after it, in a row; ids of each text."""
-    begins, ends, of = block.runs(K.NOT_SPACE)
+    block, begins, ends, of = units(block)
     ids, lengths = pool.lookup(block, begins, ends)
     counts = np.bincount(of, weights=lengths, minlength=block.n).astype(np.int64)
     out = np.full(len(ids) + block.n, END, np.uint32)
@@ -76,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # one vocabulary file
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = word_pool(shared.value)
+        pool = pool_of(shared.value, lambda: word_pool(shared.value))
         for batch in batches:
             for block in K.blocks(batch.column(1)):
                 ids, counts = block_ids(pool, block)

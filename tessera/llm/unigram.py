@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import map_arrow, require
 from .pool import Pool, spread
+from .pool import shared as pool_of
 
 MARKER = "▁"
 UNKNOWN_COST = 10.0
@@ -103,6 +104,7 @@ class Unigram:
         if any(MARKER in p.lstrip(MARKER) for _, p, _ in normal):
             raise ValueError("a piece has a marker after another character")
         self.raw = [p.replace(MARKER, " ").encode() if kind == "normal" else bytes([int(p[3:5], 16)]) if kind == "byte" else b"" for p, _, kind in pieces]
+        self.digest = hash(tuple(pieces))
         self.score = np.array([s for _, s, _ in pieces], np.float64)
         self.byte_ids = np.zeros(256, np.int32)
         for i, (p, _, kind) in enumerate(pieces):
@@ -112,7 +114,7 @@ class Unigram:
         self.trie = DoubleArray([self.raw[i] for i, _, _ in normal], [i for i, _, _ in normal])
         self.longest = max((len(self.raw[i]) for i, _, _ in normal), default=1)
         self.size = np.array([len(r) for r in self.raw], np.int64)
-        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.joined = np.frombuffer(b"".join(self.raw), np.uint8)
         self.at = np.cumsum(self.size) - self.size
 
     @classmethod
@@ -137,6 +139,10 @@ class Unigram:
                 out[i] = self._alone(u)
         return out
 
+    def flat(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.segment(units)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
     def _together(self, units: list[bytes]) -> list[np.ndarray]:
         n = len(units)
         lengths = np.array([len(u) for u in units])
@@ -219,7 +225,7 @@ class Unigram:
         """Bytes of each text; the space put before it is taken off."""
         ids = ids.astype(np.int64)
         lengths = self.size[ids]
-        raw = self.flat[spread(self.at[ids], lengths)].tobytes()
+        raw = self.joined[spread(self.at[ids], lengths)].tobytes()
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -228,7 +234,7 @@ class Unigram:
         return self.decode_block(known, np.array([len(known)]))[0].decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
-        return encode_block(Pool(self.segment), next(K.blocks(pa.array([text]))))[0].tolist()
+        return encode_block(Pool(self.flat), next(K.blocks(pa.array([text]))))[0].tolist()
 
 
 def encode_block(pool: Pool, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +260,7 @@ def encode(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = Pool(shared.value.segment)
+        pool = pool_of(("unigram", shared.value.digest), lambda: Pool(shared.value.flat))
         for batch in batches:
             for block in K.blocks(batch.column(1)):
                 ids, counts = encode_block(pool, block)
@@ -288,7 +294,7 @@ def round_trip(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        pool = Pool(m.segment)
+        pool = pool_of(("unigram", m.digest), lambda: Pool(m.flat))
         is_byte = np.zeros(len(m.raw), bool)
         is_byte[m.byte_ids] = True
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, fingerprints, licences, packing, rules, unigram, urls, warc
+from . import classify, fingerprints, jaccard, licences, packing, rules, unigram, urls, warc
 from .common import prepare, table
 
 
@@ -37,6 +37,12 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets agree by 85 %."""
+    prepare(spark)
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every whole text of documents."""
     prepare(spark)

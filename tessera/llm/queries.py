@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, fingerprints, jaccard, licences, packing, rules, unigram, urls, warc
+from . import classify, fingerprints, jaccard, licences, packing, rules, suffixes, unigram, urls, warc
 from .common import prepare, table
 
 
@@ -55,6 +55,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 50-byte strings removed from every whole text of documents."""
+    prepare(spark)
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 #: The copy that is audited: of every 61st page the first character is lost.
 OP8_REPLICA = "CASE WHEN page_id % 61 = 0 THEN concat('?', substring(payload, 2)) ELSE payload END"
 

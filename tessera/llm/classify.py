@@ -178,3 +178,24 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **optio
     """doc_id, held_out, score and predicted (1 if score >= accept)."""
     out = score(docs, fit(docs, labels, **options))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that score ``accept`` or more, all columns kept.
+
+    Texts are scored where they lie: nothing is shuffled.  Without a model
+    (no labelled rows) every row stays.
+    """
+    model = fit(docs, labels, key=key, text=text, **options)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as in score()
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shared.value.score(features(b)) for b in K.blocks(batch.column(at))]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= accept))
+
+    return map_arrow(docs, run, docs.schema)

@@ -377,3 +377,17 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: s
     return members.join(named, (F.col("set_id") == F.col("class")) & (F.col("n_shingles") > 0), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+#: Ids of removed documents that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
+
+
+def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the
+    document with the least id stays.  Rows with a null id all stay."""
+    joined = jaccard_join(docs, n, percent, key, text)
+    gone = cut(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("removed id")).distinct())
+    few = gone.limit(MAX_BROADCAST_IDS + 1).count()
+    side = F.broadcast(gone) if few <= MAX_BROADCAST_IDS else gone
+    return docs.join(side, F.col(key).cast("long") == F.col("removed id"), "left_anti")

@@ -85,6 +85,24 @@ def text_counts(docs: DataFrame, host: str = "source", key: str = "doc_id", text
     return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text")), _counted, schema)
 
 
+def _rates(counts: DataFrame) -> DataFrame:
+    """rated_host and host_rate from host and base_failed."""
+    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("bad"))
+    mean = F.col("total_bad") / F.col("total")
+    prior = (
+        hosts.agg(F.sum("n").alias("total"), F.sum("bad").alias("total_bad"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("square"))
+        .withColumn("mean", mean)
+        .withColumn("spread", F.greatest(F.col("square") / F.col("total") - F.col("mean") * F.col("mean"), F.lit(1e-6)))
+        .withColumn("weight", F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1))
+        .select((F.col("mean") * F.col("weight")).alias("alpha"), "weight")
+    )
+    # The prior is one row, whatever the input.
+    return hosts.crossJoin(F.broadcast(prior)).select(
+        F.col("host").alias("rated_host"),
+        F.round((F.col("bad") + F.col("alpha")) / (F.col("n") + F.col("weight")), 9).alias("host_rate"),
+    )
+
+
 def host_rules(
     docs: DataFrame,
     host: str = "source",
@@ -108,22 +126,40 @@ def host_rules(
             (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
         )
     )
-    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("bad"))
-    mean = F.col("total_bad") / F.col("total")
-    prior = (
-        hosts.agg(F.sum("n").alias("total"), F.sum("bad").alias("total_bad"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("square"))
-        .withColumn("mean", mean)
-        .withColumn("spread", F.greatest(F.col("square") / F.col("total") - F.col("mean") * F.col("mean"), F.lit(1e-6)))
-        .withColumn("weight", F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1))
-        .select((F.col("mean") * F.col("weight")).alias("alpha"), "weight")
-    )
-    # The prior is one row, whatever the input.
-    rates = hosts.crossJoin(F.broadcast(prior)).select(
-        F.col("host").alias("rated_host"),
-        F.round((F.col("bad") + F.col("alpha")) / (F.col("n") + F.col("weight")), 9).alias("host_rate"),
-    )
+    rates = _rates(counts)
     return (
         counts.join(rates, F.col("host").eqNullSafe(F.col("rated_host")), "left")
         .drop("rated_host")
         .withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
     )
+
+
+#: Rejected hosts that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_HOSTS = 100_000
+
+
+def passing(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`host_rules` keeps, all columns kept.
+
+    Texts are filtered where they lie; only rejected hosts are joined.
+    """
+    require(docs, host, key, text)
+    verdicts = host_rules(docs, host, key, text, min_words, max_repeat_percent, max_rate)
+    rejected = cut(verdicts.where(F.col("host_rate") > max_rate).select(F.col("host").alias("rejected host")).distinct())
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for block in K.blocks(batch.column(at)):
+                c = count_block(block)
+                keep.append((c["n_words"] >= min_words) & (100 * c["n_repeat_words"] <= max_repeat_percent * c["n_words"]))
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    kept = map_arrow(docs, run, docs.schema)
+    few = rejected.limit(MAX_BROADCAST_HOSTS + 1).count()
+    if not few:
+        return kept
+    side = F.broadcast(rejected) if few <= MAX_BROADCAST_HOSTS else rejected
+    return kept.join(side, F.col(host).cast("string").eqNullSafe(F.col("rejected host")), "left_anti")

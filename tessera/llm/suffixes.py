@@ -48,8 +48,17 @@ SAMPLE = 32
 _NULL_ID = (1 << 63) - 1  # a null id counts as the largest
 
 
-def pack_chunks(docs: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
-    """chunk, n_bytes, ids, starts, data: many texts in a row, compressed."""
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as writer:
+        for b in batches:
+            writer.write_batch(b)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def pack_chunks(docs: DataFrame, key: str, text: str, chunk: int = CHUNK, carry: bool = False) -> DataFrame:
+    """chunk, n_bytes, ids, starts, data, rest: many texts in a row,
+    compressed; with ``carry``, rest has their other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -57,13 +66,14 @@ def pack_chunks(docs: DataFrame, key: str, text: str, chunk: int = CHUNK) -> Dat
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         parts: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         held = made = 0
 
         def flush() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + made]), pa.array([held], pa.int64()), pa.array([np.concatenate(ids).tobytes()]), pa.array([starts.astype(np.int64).tobytes()]), pa.array([press.compress(b"".join(parts))])],
-                ["chunk", "n_bytes", "ids", "starts", "data"],
+                [pa.array([(task << 32) + made]), pa.array([held], pa.int64()), pa.array([np.concatenate(ids).tobytes()]), pa.array([starts.astype(np.int64).tobytes()]), pa.array([press.compress(b"".join(parts))]), pa.array([_ipc(rest) if carry else None], pa.binary())],
+                ["chunk", "n_bytes", "ids", "starts", "data", "rest"],
             )
 
         for batch in batches:
@@ -71,15 +81,18 @@ def pack_chunks(docs: DataFrame, key: str, text: str, chunk: int = CHUNK) -> Dat
                 ids.append(batch.column(0).slice(block.first, block.n).fill_null(_NULL_ID).to_numpy())
                 sizes.append(np.diff(block.starts))
                 parts.append(block.data.tobytes())
+                if carry:
+                    rest.append(pa.RecordBatch.from_arrays([c.slice(block.first, block.n) for c in batch.columns[2:]], [f"c{i}" for i in range(len(batch.columns) - 2)]))
                 held += len(block.data)
                 if held >= chunk or sum(map(len, ids)) >= 65536:
                     yield flush()
-                    ids, sizes, parts, held, made = [], [], [], 0, made + 1
+                    ids, sizes, parts, rest, held, made = [], [], [], [], 0, made + 1
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return map_arrow(rows, run, "chunk long, n_bytes long, ids binary, starts binary, data binary")
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(c for c in docs.columns if c != text)] if carry else []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), *others)
+    return map_arrow(rows, run, "chunk long, n_bytes long, ids binary, starts binary, data binary, rest binary")
 
 
 def _open(ids: bytes, starts: bytes, data: bytes) -> tuple[np.ndarray, K.Block]:
@@ -356,12 +369,15 @@ def _bucket(window: int, gram: int):
     return run
 
 
-def _apply(window: int, gram: int, shared, with_text: bool):
+def _apply(window: int, gram: int, shared, carry: bool):
+    """Removes from each chunk; with ``carry``, gives texts and other columns."""
     side = window - gram
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(5)]
+        rest: list[pa.Table] = []
+        texts: list[str] = []
         for row in chunks.to_pylist():
             ids, block = _open(row["ids"], row["starts"], row["data"])
             c = Contexts(ids, block, window, gram)
@@ -403,39 +419,80 @@ def _apply(window: int, gram: int, shared, with_text: bool):
             columns[3] += [[{"start": x - begins[i], "end": y - begins[i]} for x, y in zip(span_a[span_at[i] : span_at[i + 1]].tolist(), span_b[span_at[i] : span_at[i + 1]].tolist(), strict=True)] for i in range(block.n)]
             pieces = [kept[a:b] for a, b in zip(kept_at[:-1], kept_at[1:], strict=True)]
             columns[4] += [hashlib.sha256(x).hexdigest() for x in pieces]
-            columns[5] += pieces if with_text else [None] * block.n
+            if carry:
+                rest.append(pa.ipc.open_stream(unpack.decompress(row["rest"])).read_all())
+                texts += [x.decode("utf-8", "ignore") for x in pieces]
+        if carry:
+            table = pa.concat_tables(rest)
+            return table.append_column("t", pa.array(texts, pa.string())).append_column("n_removed", pa.array(columns[2], pa.int64()))
         return pa.table([pa.array(x, f.type) for x, f in zip(columns, _RESULT, strict=True)], schema=_RESULT)
 
     return run
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans, kept_sha256 and kept, of each row.
 
-    ``spans`` are the maximal removed byte ranges; ``kept`` holds the other
-    bytes if ``with_text``.  Null texts count as empty.  Rows with one id are
-    parts of one document, whose strings don't remove each other, and so are
-    rows with a null id, which counts as the largest.  Contexts of anchors are
-    told apart by 64-bit hashes and compared byte by byte.  A single text of n
-    bytes needs about 60 n bytes of memory.
-    """
-    require(docs, key, text)
-    if gram & (gram - 1) or not 16 <= gram < window or window - gram > 63:
-        raise ValueError("gram must be a power of two from 16 on, and window up to 63 longer")
-    spark = prepare(docs.sparkSession)
-    chunks = cut(pack_chunks(docs, key, text, chunk))
+def _answered(chunks: DataFrame, window: int, gram: int, bucket: int):
+    """Verdicts for each chunk, and the broadcast splitters."""
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).head()["n"]
     buckets = max(1, -(-total // bucket))
-    # SAMPLE rows of 16 bytes for a chunk: a 100,000th of the text
-    leads = map_arrow(chunks.select("ids", "starts", "data"), _sampler(window, gram, SAMPLE), "lead binary").distinct().toArrow().column(0).to_pylist()
+    # SAMPLE rows of 16 bytes for a chunk: less than a 5,000th of the text
+    leads = map_arrow(chunks.select("ids", "starts", "data"), _sampler(window, gram, SAMPLE), "lead binary").toArrow().column(0).to_pylist()
     leads = sorted(x for x in leads if len(x) == 16)
     chosen = sorted({leads[len(leads) * i // buckets] for i in range(1, buckets)}) if leads else []
     splitters = np.frombuffer(b"".join(chosen), ">u8").reshape(-1, 2).astype(np.uint64)
-    shared = spark.sparkContext.broadcast(splitters)  # 16 bytes for each bucket
+    shared = chunks.sparkSession.sparkContext.broadcast(splitters)  # 16 bytes for each bucket
     sent = map_arrow(chunks.select("chunk", "ids", "starts", "data"), _requests(window, gram, shared), "bucket long, chunk long, n long, payload binary")
-    answers = sent.groupBy("bucket").applyInArrow(_bucket(window, gram), "chunk long, bucket long, payload binary")
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary"
-    return chunks.select("chunk", "ids", "starts", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, shared, with_text), schema)
+    return sent.groupBy("bucket").applyInArrow(_bucket(window, gram), "chunk long, bucket long, payload binary"), shared
+
+
+def _check(window: int, gram: int) -> None:
+    if gram & (gram - 1) or not 16 <= gram < window or window - gram > 63:
+        raise ValueError("gram must be a power of two from 16 on, and window up to 63 longer")
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans and kept_sha256 of each row.
+
+    ``spans`` are the maximal removed byte ranges.  Null texts count as empty.
+    Rows with one id are parts of one document, whose strings don't remove
+    each other, and so are rows with a null id, which counts as the largest.
+    Contexts of anchors are told apart by 64-bit hashes and compared byte by
+    byte.  A single text of n bytes needs about 60 n bytes of memory.
+    """
+    require(docs, key, text)
+    _check(window, gram)
+    prepare(docs.sparkSession)
+    chunks = cut(pack_chunks(docs, key, text, chunk))
+    answers, shared = _answered(chunks, window, gram, bucket)
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
+    return chunks.select("chunk", "ids", "starts", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, shared, False), schema)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of ``text``.
+
+    All columns and rows stay; a character that lost some of its bytes goes
+    too.  ``size``, if there is such a column, is the new number of code
+    points where bytes went.  A null text becomes empty.
+    """
+    require(docs, key, text)
+    _check(window, gram)
+    prepare(docs.sparkSession)
+    chunks = cut(pack_chunks(docs, key, text, chunk, carry=True))
+    answers, shared = _answered(chunks, window, gram, bucket)
+    others = [f for f in docs.schema if f.name != text]
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(others)), "t string, n_removed long"])
+    out = chunks.select("chunk", "ids", "starts", "data", "rest").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, shared, True), schema)
+    place = {f.name: f"c{i}" for i, f in enumerate(others)}
+    columns = []
+    for f in docs.schema:
+        if f.name == text:
+            column = F.col("t")
+        elif f.name == size:
+            column = F.when(F.col("n_removed") > 0, F.length("t").cast(f.dataType)).otherwise(F.col(place[f.name]))
+        else:
+            column = F.col(place[f.name])
+        columns.append(column.alias(f.name))
+    return out.select(*columns)

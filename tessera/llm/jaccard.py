@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernel as K
-from .common import cut, map_arrow, partitions, prepare, require
+from .common import cut, free_name, map_arrow, partitions, prepare, require
 from .components import components
 
 NGRAM = 5
@@ -387,7 +387,8 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: st
     """The rows of ``docs`` without near copies: of each component the
     document with the least id stays.  Rows with a null id all stay."""
     joined = jaccard_join(docs, n, percent, key, text)
-    gone = cut(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("removed id")).distinct())
+    removed = free_name(docs, "removed")
+    gone = cut(joined.where("component_id <> doc_id").select(F.col("doc_id").alias(removed)).distinct())
     few = gone.limit(MAX_BROADCAST_IDS + 1).count()
     side = F.broadcast(gone) if few <= MAX_BROADCAST_IDS else gone
-    return docs.join(side, F.col(key).cast("long") == F.col("removed id"), "left_anti")
+    return docs.join(side, F.col(key).cast("long") == F.col(removed), "left_anti")

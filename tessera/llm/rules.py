@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, map_arrow, require
+from .common import cut, free_name, map_arrow, require
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -145,7 +145,8 @@ def passing(docs: DataFrame, host: str = "source", key: str = "doc_id", text: st
     """
     require(docs, host, key, text)
     verdicts = host_rules(docs, host, key, text, min_words, max_repeat_percent, max_rate)
-    rejected = cut(verdicts.where(F.col("host_rate") > max_rate).select(F.col("host").alias("rejected host")).distinct())
+    name = free_name(docs, "rejected")
+    rejected = cut(verdicts.where(F.col("host_rate") > max_rate).select(F.col("host").alias(name)).distinct())
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +163,4 @@ def passing(docs: DataFrame, host: str = "source", key: str = "doc_id", text: st
     if not few:
         return kept
     side = F.broadcast(rejected) if few <= MAX_BROADCAST_HOSTS else rejected
-    return kept.join(side, F.col(host).cast("string").eqNullSafe(F.col("rejected host")), "left_anti")
+    return kept.join(side, F.col(host).cast("string").eqNullSafe(F.col(name)), "left_anti")

@@ -10,14 +10,19 @@ same place, and it is enough to compare the ``window - GRAM`` bytes before and
 after equal anchors.  The steps are:
 
 1. texts are put in chunks (a written table, read twice);
-2. each chunk finds its anchors, merges equal contexts, and deals them out to
-   buckets by splitters sampled from the anchors' leading bytes;
-3. a bucket sorts its contexts by what follows and, within one anchor, by
+2. each chunk finds its anchors and merges equal contexts.  A window shared
+   by two documents holds half of the bytes around its anchor on one side at
+   least, so contexts of which neither half stands in another document can't
+   matter: chunks exchange short hashes of the halves and drop those contexts
+   (a chance agreement keeps a context, and costs nothing else);
+3. the contexts that are left are dealt out to buckets by splitters sampled
+   from the anchors' leading bytes;
+4. a bucket sorts its contexts by what follows and, within one anchor, by
    what precedes (multikey quicksort, eight bytes a step), compares
    neighbours, also those from different chunks, and finds for each window
    the least document.  Splitters fall between different anchors, so no
    comparison goes beyond a bucket's end;
-4. verdicts go back to the chunks that sent the contexts.
+5. verdicts go back to the chunks that sent the contexts.
 
 A context that stands in many documents is sent once from each chunk.
 """
@@ -170,6 +175,36 @@ class Contexts:
         self.back = rank[back]
         self.least = np.full(len(order), _NULL_ID)
         np.minimum.at(self.least, self.back, self.doc)
+        self.most = np.full(len(order), -_NULL_ID)
+        np.maximum.at(self.most, self.back, self.doc)
+        self.block, self.gram, self.row_at = block, gram, at[first][order]
+
+    def halves(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes (of ``bits`` bits, sorted) of the half contexts,
+        whether each stands in two documents here, and the places of each
+        context's right and left half among them (or their number: none)."""
+        half = (self.side + 1) // 2
+        value, doc_low, doc_high, where = [], [], [], []
+        for salt, fits, begin, end in (
+            (0, self.row_hi >= half, self.row_at, self.row_at + self.gram + half),
+            (0x632BE59BD9B4E019, self.row_lo >= half, self.row_at - half, self.row_at + self.gram),
+        ):
+            at = np.flatnonzero(fits)
+            h = K.mix(self.block.hashes(begin[at], end[at]) ^ np.uint64(salt)) >> np.uint64(64 - bits) if len(at) else np.zeros(0, np.uint64)
+            value.append(h)
+            doc_low.append(self.least[at])
+            doc_high.append(self.most[at])
+            where.append(at)
+        found, back = np.unique(np.concatenate(value), return_inverse=True)
+        low, high = np.full(len(found), _NULL_ID), np.full(len(found), -_NULL_ID)
+        np.minimum.at(low, back, np.concatenate(doc_low))
+        np.maximum.at(high, back, np.concatenate(doc_high))
+        places = []
+        for at, mine in zip(where, np.split(back, [len(value[0])]), strict=True):
+            place = np.full(len(self.rows), len(found))
+            place[at] = mine
+            places.append(place)
+        return found, low < high, places[0], places[1]
 
     def cuts(self, splitters: np.ndarray) -> np.ndarray:
         """Where each bucket's rows begin, and their end."""
@@ -305,21 +340,71 @@ def _sampler(window: int, gram: int, sample: int):
     return run
 
 
-def _requests(window: int, gram: int, shared):
+def _half_sets(window: int, gram: int, bits: int, parts: int):
+    """Each chunk's hashes of half contexts, by their leading bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for chunk, ids, starts, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                c = Contexts(*_open(ids, starts, data), window, gram)
-                cuts = c.cuts(shared.value).tolist()
-                out = []
-                for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                found = Contexts(*_open(ids, starts, data), window, gram).halves(bits)[0]
+                cuts = _parts(found, bits, parts)
+                rows = []
+                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if b > a:
-                        # column by column, so that like bytes stand together
-                        out.append((bucket, chunk, b - a, press.compress(b"".join([c.least[a:b].tobytes(), c.row_lo[a:b].astype(np.uint8).tobytes(), c.row_hi[a:b].astype(np.uint8).tobytes(), c.rows[a:b].tobytes()]))))
-                for i in range(0, len(out), 64):
-                    cols = list(zip(*out[i : i + 64], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "n", "payload"])
+                        # steps between sorted numbers, lowest bytes first
+                        steps = np.diff(found[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+                        rows.append((part, chunk, b - a, press.compress(steps.tobytes())))
+                for i in range(0, len(rows), 64):
+                    cols = list(zip(*rows[i : i + 64], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["part", "chunk", "n", "payload"])
+
+    return run
+
+
+def _parts(found: np.ndarray, bits: int, parts: int) -> list[int]:
+    edges = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
+    return [0, *np.searchsorted(found, edges).tolist(), len(found)]
+
+
+def _met_twice(t: pa.Table) -> pa.Table:
+    """For each chunk, which of its hashes another chunk has too."""
+    unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    sets = []
+    for n, z in zip(t.column("n").to_pylist(), t.column("payload"), strict=True):
+        steps = np.frombuffer(unpack.decompress(z.as_py()), np.uint8).reshape(8, n).T
+        sets.append(np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel().astype(np.uint64), dtype=np.uint64))
+    every = np.sort(np.concatenate(sets))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    flags = []
+    for x in sets:
+        at = np.minimum(np.searchsorted(twice, x), max(len(twice) - 1, 0))
+        flags.append(press.compress(np.packbits(twice[at] == x if len(twice) else np.zeros(len(x), bool)).tobytes()))
+    return pa.table([t.column("chunk"), t.column("part"), pa.array(flags, pa.binary())], ["chunk", "part", "flags"])
+
+
+def _requests(window: int, gram: int, bits: int, parts: int, shared):
+    """Sends on the contexts that may matter."""
+
+    def run(chunks: pa.Table, marks: pa.Table) -> pa.Table:
+        press, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        out = []
+        for row in chunks.to_pylist():
+            c = Contexts(*_open(row["ids"], row["starts"], row["data"]), window, gram)
+            found, twice, right, left = c.halves(bits)
+            cuts = _parts(found, bits, parts)
+            for mark in marks.to_pylist():
+                a, b = cuts[mark["part"]], cuts[mark["part"] + 1]
+                twice[a:b] |= np.unpackbits(np.frombuffer(unpack.decompress(mark["flags"]), np.uint8), count=b - a).astype(bool)
+            twice = np.append(twice, False)
+            keep = np.flatnonzero(twice[right] | twice[left])
+            edges = np.searchsorted(keep, c.cuts(shared.value)).tolist()
+            for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if b > a:
+                    k = keep[a:b]
+                    out.append((bucket, row["chunk"], b - a, press.compress(b"".join([c.least[k].tobytes(), k.astype(np.uint32).tobytes(), c.row_lo[k].astype(np.uint8).tobytes(), c.row_hi[k].astype(np.uint8).tobytes(), c.rows[k].tobytes()]))))
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "n", "payload"])
 
     return run
 
@@ -333,15 +418,17 @@ def _bucket(window: int, gram: int):
         sizes = t.column("n").to_numpy()
         total = int(sizes.sum())
         least, lo, hi = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
+        place = np.empty(total, np.uint32)
         rows = np.empty((total, width), np.uint8)
         edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             raw = unpack.decompress(t.column("payload")[i].as_py())
             m = b - a
             least[a:b] = np.frombuffer(raw, np.int64, m)
-            lo[a:b] = np.frombuffer(raw, np.uint8, m, 8 * m)
-            hi[a:b] = np.frombuffer(raw, np.uint8, m, 9 * m)
-            rows[a:b] = np.frombuffer(raw, np.uint8, m * width, 10 * m).reshape(m, width)
+            place[a:b] = np.frombuffer(raw, np.uint32, m, 8 * m)
+            lo[a:b] = np.frombuffer(raw, np.uint8, m, 12 * m)
+            hi[a:b] = np.frombuffer(raw, np.uint8, m, 13 * m)
+            rows[a:b] = np.frombuffer(raw, np.uint8, m * width, 14 * m).reshape(m, width)
         with np.errstate(over="ignore"):
             h = (lo * 256 + hi).astype(np.uint64)
             for word in _words(rows):
@@ -362,14 +449,14 @@ def _bucket(window: int, gram: int):
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             at = np.flatnonzero(bits[a:b])
             if len(at):
-                out.append((t.column("chunk")[i].as_py(), bucket, press.compress(at.astype(np.uint32).tobytes() + bits[a:b][at].tobytes())))
+                out.append((t.column("chunk")[i].as_py(), bucket, press.compress(place[a:b][at].tobytes() + bits[a:b][at].tobytes())))
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["chunk", "bucket", "payload"])
 
     return run
 
 
-def _apply(window: int, gram: int, shared, carry: bool):
+def _apply(window: int, gram: int, carry: bool):
     """Removes from each chunk; with ``carry``, gives texts and other columns."""
     side = window - gram
 
@@ -381,12 +468,11 @@ def _apply(window: int, gram: int, shared, carry: bool):
         for row in chunks.to_pylist():
             ids, block = _open(row["ids"], row["starts"], row["data"])
             c = Contexts(ids, block, window, gram)
-            cuts = c.cuts(shared.value)
             bits = np.zeros(len(c.rows), np.uint64)
             for answer in answers.to_pylist():
                 raw = unpack.decompress(answer["payload"])
                 m = len(raw) // 12
-                bits[cuts[answer["bucket"]] + np.frombuffer(raw, np.uint32, m)] = np.frombuffer(raw[4 * m :], np.uint64)
+                bits[np.frombuffer(raw, np.uint32, m)] = np.frombuffer(raw[4 * m :], np.uint64)
             each = bits[c.back]
             later = c.doc > c.least[c.back]
             each[later] = _valid_bits(c.lo[later], c.hi[later], side)
@@ -434,7 +520,7 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def _answered(chunks: DataFrame, window: int, gram: int, bucket: int):
-    """Verdicts for each chunk, and the broadcast splitters."""
+    """Verdicts for each chunk."""
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).head()["n"]
     buckets = max(1, -(-total // bucket))
     # SAMPLE rows of 16 bytes for a chunk: less than a 5,000th of the text
@@ -443,8 +529,13 @@ def _answered(chunks: DataFrame, window: int, gram: int, bucket: int):
     chosen = sorted({leads[len(leads) * i // buckets] for i in range(1, buckets)}) if leads else []
     splitters = np.frombuffer(b"".join(chosen), ">u8").reshape(-1, 2).astype(np.uint64)
     shared = chunks.sparkSession.sparkContext.broadcast(splitters)  # 16 bytes for each bucket
-    sent = map_arrow(chunks.select("chunk", "ids", "starts", "data"), _requests(window, gram, shared), "bucket long, chunk long, n long, payload binary")
-    return sent.groupBy("bucket").applyInArrow(_bucket(window, gram), "chunk long, bucket long, payload binary"), shared
+    # few of that many numbers agree by chance
+    bits = min(64, max(24, total.bit_length() + 8))
+    texts = chunks.select("chunk", "ids", "starts", "data")
+    halves = map_arrow(texts, _half_sets(window, gram, bits, buckets), "part long, chunk long, n long, payload binary")
+    marks = halves.groupBy("part").applyInArrow(_met_twice, "chunk long, part long, flags binary")
+    sent = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_requests(window, gram, bits, buckets, shared), "bucket long, chunk long, n long, payload binary")
+    return sent.groupBy("bucket").applyInArrow(_bucket(window, gram), "chunk long, bucket long, payload binary")
 
 
 def _check(window: int, gram: int) -> None:
@@ -465,9 +556,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     _check(window, gram)
     prepare(docs.sparkSession)
     chunks = cut(pack_chunks(docs, key, text, chunk))
-    answers, shared = _answered(chunks, window, gram, bucket)
+    answers = _answered(chunks, window, gram, bucket)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
-    return chunks.select("chunk", "ids", "starts", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, shared, False), schema)
+    return chunks.select("chunk", "ids", "starts", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, False), schema)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
@@ -481,10 +572,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     _check(window, gram)
     prepare(docs.sparkSession)
     chunks = cut(pack_chunks(docs, key, text, chunk, carry=True))
-    answers, shared = _answered(chunks, window, gram, bucket)
+    answers = _answered(chunks, window, gram, bucket)
     others = [f for f in docs.schema if f.name != text]
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(others)), "t string, n_removed long"])
-    out = chunks.select("chunk", "ids", "starts", "data", "rest").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, shared, True), schema)
+    out = chunks.select("chunk", "ids", "starts", "data", "rest").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(window, gram, True), schema)
     place = {f.name: f"c{i}" for i, f in enumerate(others)}
     columns = []
     for f in docs.schema:

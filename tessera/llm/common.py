@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the plans of finished phases, so that Spark's cleaner drops
+    their shuffle files, broadcasts and checkpoints now rather than when the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = cut(both.distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = cut(labels)
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("near")).agg(F.min("label").alias("m"))
-        moved = labels.join(near, F.col("node") == F.col("near")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        at = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = cut(moved.join(at, "label").select("node", "old", F.least("label", "above").alias("label")))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        least = own.unionByName(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        after = cut(least.join(above, "label").select("node", "old", F.least("label", "above").alias("label")))
         labels = after.select("node", "label")
-        if not after.where("old <> label").head(1):
+        changed = after.where("old <> label").head(1)
+        if not changed:
+            release(edges.sparkSession)
             return labels

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernel as K
-from .common import cut, free_name, map_arrow, partitions, prepare, require
+from .common import cut, free_name, map_arrow, partitions, prepare, release, require
 from .components import components
 
 NGRAM = 5
 PERCENT = 80
 #: Words of bits that say which sets are candidates; broadcast, fixed size.
-BITMAP_WORDS = 1 << 20
+BITMAP_WORDS = 1 << 18
 #: Sets of a candidate group that one task compares with each other.
 GROUP = 2048
 
@@ -351,6 +351,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: s
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
     w = Window.partitionBy("key")
+    release(docs.sparkSession)
     shared = _keys(docs, n, percent, key, text).select("key", "set_id", F.min("set_id").over(w).alias("a"), F.max("set_id").over(w).alias("z")).where("a <> z")
     stars = cut(shared.where("set_id <> a").select(F.col("set_id").alias("b"), "a").distinct())
     groups = components(stars)  # node, label of candidate groups

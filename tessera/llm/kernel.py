@@ -61,6 +61,10 @@ class Block:
         self.n = len(starts) - 1
         self._sums: np.ndarray | None = None
 
+    def forget(self) -> None:
+        """Frees what hashing remembers."""
+        self._sums = None
+
     def lowered(self) -> Block:
         return Block(LOWER[self.data], self.starts, self.first)
 
@@ -96,7 +100,9 @@ class Block:
         if self._sums is None:
             with np.errstate(over="ignore"):
                 self._sums = np.zeros(n + 1, _U)
-                np.cumsum(_TABLE[self.data] * up[:n], out=self._sums[1:])
+                terms = _TABLE[self.data]
+                terms *= up[:n]
+                np.cumsum(terms, out=self._sums[1:])
         with np.errstate(over="ignore"):
             return mix((self._sums[ends] - self._sums[begins]) * down[begins] + (ends - begins).astype(_U))
 

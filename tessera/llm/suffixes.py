@@ -44,7 +44,7 @@ from .common import cut, map_arrow, prepare, require
 
 WINDOW = 50
 GRAM = 16
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bytes of text for each bucket, about.
 BUCKET = 16 << 20
 #: Anchors that each chunk gives for the choice of splitters.
@@ -137,13 +137,21 @@ def anchors(block: K.Block, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     ends = block.starts[1:]
     np.add.at(flags, np.maximum(block.starts[:-1], ends - window + 1), 1)
     np.add.at(flags, ends, -1)
-    least[np.cumsum(flags)[: len(least)] > 0] = 0  # the window leaves its text
+    least[np.cumsum(flags, dtype=np.int32)[: len(least)] > 0] = 0  # the window leaves its text
+    del flags
     wide = np.concatenate([np.zeros(around - 1, np.uint32), least, np.zeros(around - 1, np.uint32)])
     most = _slide(wide, around, np.maximum)  # over windows that hold the gram
     at = np.flatnonzero((h == most[: len(h)]) & (most[: len(h)] > 0))
     return at, block.text_of(at)
 
 
+def _view(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Copies of ``width`` bytes from each position."""
+    if not len(at):
+        return np.zeros((0, width), np.uint8)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at])
+
+
 class Contexts:
     """The distinct contexts of a chunk's anchors, in a fixed order."""
 
@@ -162,22 +170,25 @@ class Contexts:
             h = np.zeros(0, np.uint64)
         h, first, back = np.unique(h, return_index=True, return_inverse=True)
         padded = np.concatenate([np.zeros(side, np.uint8), block.data, np.zeros(side + gram + 8, np.uint8)])
-        rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at[first]] if len(first) else np.zeros((0, width), np.uint8)
-        lo, hi = self.lo[first], self.hi[first]
-        for i in np.flatnonzero((lo < side) | (hi < side)):
-            rows[i, : side - lo[i]] = 0
-            rows[i, side + gram + hi[i] :] = 0
-        lead = np.ascontiguousarray(rows[:, side : side + 16]).view(">u8").reshape(-1, 2).astype(np.uint64)
+        start = at[first]
+        lead = _view(padded, 16, start + side)
+        lead[np.arange(16) >= (gram + self.hi[first])[:, None]] = 0
+        lead = lead.view(">u8").astype(np.uint64)
         order = np.lexsort((h, lead[:, 1], lead[:, 0]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.rows, self.row_lo, self.row_hi, self.lead = rows[order], lo[order], hi[order], lead[order]
+        self.lead, start, first = lead[order], start[order], first[order]
+        self.row_lo, self.row_hi = self.lo[first], self.hi[first]
+        self.rows = _view(padded, width, start)
+        for i in np.flatnonzero((self.row_lo < side) | (self.row_hi < side)):
+            self.rows[i, : side - self.row_lo[i]] = 0
+            self.rows[i, side + gram + self.row_hi[i] :] = 0
         self.back = rank[back]
         self.least = np.full(len(order), _NULL_ID)
         np.minimum.at(self.least, self.back, self.doc)
         self.most = np.full(len(order), -_NULL_ID)
         np.maximum.at(self.most, self.back, self.doc)
-        self.block, self.gram, self.row_at = block, gram, at[first][order]
+        self.block, self.gram, self.row_at = block, gram, start
 
     def halves(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes (of ``bits`` bits, sorted) of the half contexts,
@@ -468,7 +479,9 @@ def _apply(window: int, gram: int, carry: bool):
         for row in chunks.to_pylist():
             ids, block = _open(row["ids"], row["starts"], row["data"])
             c = Contexts(ids, block, window, gram)
+            block.forget()
             bits = np.zeros(len(c.rows), np.uint64)
+            c.rows = c.rows[:0]
             for answer in answers.to_pylist():
                 raw = unpack.decompress(answer["payload"])
                 m = len(raw) // 12
@@ -484,7 +497,7 @@ def _apply(window: int, gram: int, carry: bool):
             at = np.flatnonzero(starts)
             edge[at] += 1
             np.add.at(edge, at + window, -1)
-            gone = np.cumsum(edge)[:n] > 0
+            gone = np.cumsum(edge, dtype=np.int32)[:n] > 0
             removed = block.per_text(gone)
             first = gone.copy()
             first[1:] &= ~gone[:-1]

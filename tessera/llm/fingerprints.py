@@ -14,13 +14,18 @@ that holds the text: only texts and fingerprints are shuffled.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, free_name, partitions, prepare, require
+from .common import cut, partitions, prepare, require
+from .kernel import mix
 
 SAMPLES = 64
+#: Texts are dealt to so many times the session's shuffle partitions, as the
+#: words of a partition's texts are counted in memory.
+FINER = 6
 #: Words end at these characters.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -34,19 +39,23 @@ def least_values(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     counted = words.select("key", "side", F.xxhash64("word").alias("h")).groupBy("key", "side", "h").agg(F.count(F.lit(1)).alias("n"))
     terms = counted.select("key", "side", "h", F.log(F.col("n").cast("double")).alias("w"))
 
-    def uniform(x: Column, k: int) -> Column:
-        """The k-th 13 bits of x as a number between 0 and 1."""
-        return (F.shiftrightunsigned(x, 13 * k).bitwiseAND(8191) + 0.5) * 2.0**-13
+    def product(x: Column, k: int) -> Column:
+        """-ln of the product of two uniform numbers, from 26 bits of x: a
+        sum of two exponential draws, and so a draw from Gamma(2, 1)."""
+        first = F.shiftrightunsigned(x, 13 * k).bitwiseAND(8191) + 0.5
+        second = F.shiftrightunsigned(x, 13 * (k + 1)).bitwiseAND(8191) + 0.5
+        return -F.log(first * second * 2.0**-26)
 
     def value(k: int) -> Column:
         x = F.col(f"x{k}")
-        # the sum of two exponential draws is from Gamma(2, 1)
-        r = -F.log(uniform(x, 0) * uniform(x, 1))
-        c = -F.log(uniform(x, 2) * uniform(x, 3))
-        b = F.shiftrightunsigned(x, 52) * 2.0**-12
-        return F.log(c) - r * (F.floor(F.col("w") / r + b).cast("double") + 1.0 - b)
-
-    hashed = terms.select("key", "side", "w", *(F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(samples)))
+        r, b = product(x, 0), F.shiftrightunsigned(x, 52) * 2.0**-12
+        # for a word that occurs once, t is 0
+        steps = F.when(F.col("w") == 0.0, 1.0 - b).otherwise(F.floor(F.col("w") / r + b).cast("double") + 1.0 - b)
+        return F.log(product(x, 2)) - r * steps
+
+    # one round of hashing: the word's hash, changed by a constant of the sample
+    constants = mix(np.arange(1, samples + 1, dtype=np.uint64)).view(np.int64).tolist()
+    hashed = terms.select("key", "side", "w", *(F.xxhash64(F.col("h").bitwiseXOR(F.lit(x))).alias(f"x{k}") for k, x in enumerate(constants)))
     return hashed.groupBy("key", "side").agg(*(F.min(value(k)).alias(f"m{k}") for k in range(samples)))
 
 
@@ -98,7 +107,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     """
     require(docs, key, text)
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(key).alias("key"), F.lit(0).alias("side"), F.coalesce(text, F.lit("")).alias("text")).repartition(partitions(docs), "key")
+    texts = docs.select(F.col(key).alias("key"), F.lit(0).alias("side"), F.coalesce(text, F.lit("")).alias("text")).repartition(FINER * partitions(docs), "key")
     prints = least_values(texts, samples).select("key", fingerprint(samples).alias("fingerprint"))
     return texts.select("key").join(prints, "key", "left").select(F.col("key").alias(key), F.coalesce("fingerprint", F.lit("0" * (8 * samples))).alias("fingerprint"))
 
@@ -113,7 +122,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     """
     require(docs, key, text)
     prepare(docs.sparkSession)
-    n = partitions(docs)
+    n = FINER * partitions(docs)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.col("key").isNotNull())
     sizes = rows.select("key", F.length("text").cast("long").alias("n_chars"))
     repeated = sizes.groupBy("key").agg(F.min("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("rows"))

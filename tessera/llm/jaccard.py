@@ -69,33 +69,37 @@ def allocate(low: int, high: int, percent: int) -> tuple[int, int, int]:
     """Segments m, of them q with one-deletions, and e that may be left out.
 
     The cost of a choice is the number of keys of a set of middle size and a
-    penalty for keys of so few tokens that unrelated sets may share them.
+    penalty for keys of so few tokens that unrelated sets may share them.  Keys
+    of deletions, one for every token, count fourfold: they are what moves.
     """
     most = (100 - percent) * 2 * high // (100 + percent)  # H
     size = (low + high) / 2
     best = None
-    for deletions in (False, True):
-        for spare in (0.0, 1.0, 2.0, 4.0):
-            m = (most + 2) // 2 if deletions else most + 1
-            e = 0
-            for _ in range(4):
-                few = _few(size / m) * m
-                e = math.ceil(spare * (few + 2 * math.sqrt(few)))
-                m = max(1, (most + 2 + e) // 2) if deletions else most + 1 + e
-            q = m if deletions else 0
-            e = m + q - most - 1 if not deletions else 0
-            per = size / m
-            keys = (m - e) + q * per
-            risk = max(0.0, _few(per - 1 if deletions else per) * m - e) * (1 + q * per / max(m, 1))
-            cost = keys + 40 * risk
-            if best is None or cost < best[0]:
-                best = cost, m, q, e
-    return best[1:]
-
-
-def _few(per: float) -> float:
-    """Chance that a segment has two tokens or fewer, at ``per`` on average."""
-    return math.exp(-max(per, 0)) * (1 + per + per * per / 2) if per > 0 else 1.0
+    for share in (0.0, 0.1, 0.2, 0.3, 0.4, 0.6):
+        e = math.ceil(share * (most + 1))
+        m = most + 1 + e
+        cost = most + 1 + _shared(size / m, m, e)
+        if best is None or cost < best[0]:
+            best = cost, m, 0, e
+    m = (most + 2) // 2
+    cost = 4 * (m + size) + _shared(size / m - 1, m, 0)
+    return (best if best[0] <= cost else (cost, m, m, 0))[1:]
+
+
+def _shared(per: float, m: int, e: int) -> float:
+    """Penalty for the keys of no, one and two tokens that are expected among
+    m segments of ``per`` tokens on average, without the e smallest.  Any set
+    has an empty segment's key, and many may have one or two tokens alone."""
+    per = max(per, 0.0)
+    some, cost = 0.0, 0.0
+    left = float(e)
+    for tokens, weight in ((0, 1000.0), (1, 100.0), (2, 4.0)):
+        some = m * math.exp(-per) * per**tokens / math.factorial(tokens)
+        some += 2 * math.sqrt(some) if tokens < 2 else 0.0
+        kept = max(0.0, some - left)
+        left = max(0.0, left - some)
+        cost += weight * kept
+    return cost
 
 
 def shingles(block: K.Block, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -457,6 +457,20 @@ def plain_score(rows, target):
     return total / max(len(t), 1)
 
 
+def test_urls_count_more_grams_than_any_fixed_table(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "_models", {})
+    rng = np.random.default_rng(8)
+    tail = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz01234-"), (4000, 40))]
+    hosts = ["a.net", "example.net/en", "b.org/fr", "c.com"]
+    rows = [f"http://{hosts[i % 4]}/{x}" for i, x in enumerate(tail)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for i in range(0, len(rows), 13):
+        assert abs(got[i].score - plain_score(rows, rows[i].split("://")[1])) < 1e-9
+    grams, _ = _models["m"]
+    assert len(grams[0]) + len(grams[1]) > 1 << 18
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * (i % 700) + str(i)) for i in range(2500)] + [(None, None, None), (5, "http://again", "q")] + [(7, "u", "same")] * 300, "page_id long, url string, html string")
     got = warc.audit_pages(pages, F.expr("CASE WHEN page_id IN (3, 1999, 2400) THEN concat('!', substring(payload, 2)) ELSE payload END")).collect()

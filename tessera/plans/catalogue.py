@@ -278,6 +278,53 @@ def join_match_only(t):
     return join([t("orders").rename(o_orderkey="k"), t("lineitem").rename(l_orderkey="k").select("k")], ["k"], cols=["o_orderdate"], where=na.lt("k", 1000))
 
 
+_CUST_ALL = "SELECT CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey, c_name FROM customer"
+_ORD_ALL = "SELECT CASE WHEN o_custkey % 110 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM orders"
+
+
+def _whole(t):
+    """All customers and all orders; fewer NA keys, as each meets each."""
+    a = with_na(t("customer"), "k", F.col("c_custkey"), F.col("c_custkey") % 70 == 0).select("k", "c_custkey", "c_name")
+    b = with_na(t("orders"), "k", F.col("o_custkey"), F.col("o_custkey") % 110 == 0).select("k", "o_orderkey")
+    return a, b
+
+
+@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST_ALL}) a JOIN ({_ORD_ALL}) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_inner_whole(t):
+    """NA keys match NA keys; duplicates multiply."""
+    return join(_whole(t), ["k"])
+
+
+@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST_ALL}) a LEFT JOIN ({_ORD_ALL}) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_left_whole(t):
+    return join(_whole(t), ["k"], how="left", sort=True)
+
+
+@query(f"SELECT coalesce(a.k, b.k) AS k, c_custkey, c_name, o_orderkey FROM ({_CUST_ALL}) a FULL JOIN ({_ORD_ALL}) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_outer_whole(t):
+    return join(_whole(t), ["k"], how="outer", sort=True)
+
+
+@query("SELECT n_nationkey AS k, n_name, s_suppkey, c_custkey FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON n_nationkey = c_nationkey")
+def join_nway_whole(t):
+    """Three whole frames on one key."""
+    frames = [t("nation").rename(n_nationkey="k"), t("supplier").rename(s_nationkey="k"), t("customer").rename(c_nationkey="k")]
+    return join(frames, ["k"], cols=["n_name", "s_suppkey", "c_custkey"], sort=True)
+
+
+@query("SELECT o_orderkey AS k, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def join_match_only_whole(t):
+    return join([t("orders").rename(o_orderkey="k"), t("lineitem").rename(l_orderkey="k").select("k")], ["k"], cols=["o_orderdate"])
+
+
+@query("SELECT o_orderkey AS k, o_orderdate, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 30000 AND l_extendedprice > 30000")
+def join_filtered(t):
+    """The join's filter is put to each frame, here to its own price."""
+    a = t("orders").rename(o_orderkey="k", o_totalprice="price").select("k", "price", "o_orderdate")
+    b = t("lineitem").rename(l_orderkey="k", l_extendedprice="price").select("k", "price", "l_linenumber")
+    return join([a, b], ["k"], cols=["o_orderdate", "l_linenumber"], where=na.gt("price", 30000))
+
+
 @query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem a JOIN (SELECT o_orderkey, o_custkey, 1 AS one FROM orders) b ON l_orderkey = o_orderkey AND l_linenumber = one")
 def join_multi_key(t):
     b = t("orders").rename(o_orderkey="l_orderkey").set(l_linenumber=1)

@@ -3,7 +3,8 @@
 Texts are encoded and cut into pieces of at most ``capacity`` tokens.  Groups
 of pieces are packed by best fit, longest first; bins that are nearly full are
 final.  The rest go up a tree: the underfull bins of ``FAN_IN`` groups become
-items of one best-fit round, and so on to the root.
+items of one best-fit round, and so on to the root.  Bins that are too many
+for one task are dealt out to several, at the root until that merges no more.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ GROUP = 2000
 FAN_IN = 8
 #: A bin is final if no more than this share of it is free.
 NEARLY_FULL = 1 / 128
-#: Underfull bins that one task may get; groups that would have more, stop.
+#: Underfull bins that one task may get; nodes with more are dealt to several.
 MAX_OPEN = 100_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -176,18 +177,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, capacity - np.asarray(room, np.int64)
 
 
-def _merger(above: int, capacity: int):
-    """Packs the open bins of one node of the tree; ``above`` marks its level."""
+def _merger(capacity: int):
+    """Packs open bins of one node of the tree.  A sequence is named by the
+    first bin it holds."""
     names = ["bin", "seq", "shift", "fill", "node"]
 
     def merge(t: pa.Table) -> pa.Table:
-        if len(t) > MAX_OPEN:
-            return t.select(names)
-        t = t.take(pa.array(np.argsort(t.column("bin").to_numpy())))
-        node = t.column("node")[0].as_py()
-        _, first, back = np.unique(t.column("seq").to_numpy(), return_index=True, return_inverse=True)
+        seqs, first, back = np.unique(t.column("seq").to_numpy(), return_index=True, return_inverse=True)
         bins, offsets, fill = best_fit(t.column("fill").to_numpy()[first], capacity)
-        return pa.table([t.column("bin"), pa.array(above + (node << 24) + bins[back]), pa.array(t.column("shift").to_numpy() + offsets[back]), pa.array(fill[bins[back]]), t.column("node")], names)
+        name = seqs[np.unique(bins, return_index=True)[1]]
+        return pa.table([t.column("bin"), pa.array(name[bins[back]]), pa.array(t.column("shift").to_numpy() + offsets[back]), pa.array(fill[bins[back]]), t.column("node")], names)
 
     return merge
 
@@ -216,13 +215,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     packed = cut(items.withColumn("node", (F.col("slot") % F.lit(1 << 33) + F.shiftright("slot", 33)) % groups).groupBy("node").applyInArrow(lowest, schema))
     openings = packed.where(F.col("fill") < full).groupBy("bin").agg(F.first("fill").alias("fill"), F.first("node").alias("node"))
     level = openings.select("bin", F.col("bin").alias("seq"), F.lit(0).cast("long").alias("shift"), "fill", "node")
-    done = None
-    depth = 0
-    while groups > 1:
+    done = left = None
+    depth, again = 0, groups > 1
+    while again:
         depth += 1
         groups = -(-groups // FAN_IN)
-        level = cut(level.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("node").applyInArrow(_merger(depth << 58, capacity), "bin long, seq long, shift long, fill long, node long"))
-        final = level if groups == 1 else level.where(F.col("fill") >= full)
+        level = level.withColumn("node", F.expr(f"node div {FAN_IN}"))
+        most = level.groupBy("node").count().agg(F.max("count")).first()[0] or 0
+        # dealt by a hash, so each task gets all kinds of fill, others each round
+        parts = 1 if most <= MAX_OPEN else -(-2 * most // MAX_OPEN)
+        level = level.withColumn("part", F.pmod(F.xxhash64("seq", F.lit(depth)), F.lit(parts)))
+        level = cut(level.groupBy("node", "part").applyInArrow(_merger(capacity), "bin long, seq long, shift long, fill long, node long"))
+        again = groups > 1
+        if groups == 1 and parts > 1:
+            before, left = left, level.where(F.col("fill") < full).agg(F.countDistinct("seq")).first()[0]
+            again = before is None or left < before
+        final = level.where(F.col("fill") >= full) if again else level
         done = final if done is None else done.unionByName(final)
         level = level.where(F.col("fill") < full)
     if done is None:

@@ -240,6 +240,14 @@ def test_packing_merges_bins(spark):
     assert len(fill) == 2 and fill.sum() == 200
 
 
+def test_packing_merges_more_bins_than_one_task_gets(spark):
+    # 128,000 bins of 60 in one node, and a bin of 40 that meets them at the root
+    items = spark.range(0, 130_000, 1, 1).selectExpr("CASE WHEN id % 65 < 64 THEN 60L WHEN id = 64 THEN 40L ELSE 100L END AS length", "id")
+    got = packing.pack(items, capacity=100, group=2000).collect()
+    assert len({r.id for r in got}) == len(got) == 130_000
+    assert check_packed(got, 100) == 129_999
+
+
 @pytest.fixture(scope="module")
 def model():
     return unigram.Unigram.load(public_tokenizers.path("piece_bpe_32k.model"))

@@ -12,6 +12,7 @@ that grow with similarity.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ DIMENSIONS = 64
 NEIGHBOURS = 25
 #: Labelled rows of each label that are fitted on, at most.
 MAX_LABELLED = 1024
+#: Neighbours that are this near to the last one's similarity vote too.
+TIE = 1e-6
 ACCEPT = 0.7
 
 
@@ -98,10 +101,10 @@ class Model:
     def score(self, counts: np.ndarray) -> np.ndarray:
         cosine = unit(self.weighted(counts) @ self.projection) @ self.vectors.T
         k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.exp(20 * (np.take_along_axis(cosine, near, 1) - 1))
-        vote = (weight * self.labels[near]).sum(1) + 1e-9 * self.labels.mean()
-        return np.clip(vote / (weight.sum(1) + 1e-9), 0, 1)
+        last = np.partition(cosine, -k, axis=1)[:, [-k]]
+        weight = np.where(cosine >= last - TIE, np.exp(20 * (cosine - 1)), 0)
+        vote = weight @ self.labels + 1e-9 * self.labels.mean()
+        return np.round(np.clip(vote / (weight.sum(1) + 1e-9), 0, 1).astype(np.float64), 5)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,16 +118,30 @@ def held_out(key: Column) -> Column:
 
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [row.tobytes() for b in K.blocks(batch.column(0)) for row in features(b)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["counts", "label"])
+        rows = [row.tobytes() for b in K.blocks(batch.column(2)) for row in features(b)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "label", "counts"])
+
+
+def _fitter(dimensions: int, neighbours: int):
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("id").to_numpy())
+        counts = np.empty((len(t), WIDTH), np.float32)
+        for at, row in zip(np.argsort(order), t.column("counts"), strict=True):
+            counts[at] = np.frombuffer(row.as_buffer(), np.float32)
+        model = Model(counts, t.column("label").to_numpy()[order], dimensions, neighbours)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> Model | None:
     """A model from labelled rows that aren't held out; None without any.
 
     Of each label (0 and 1) the ``max_labelled`` rows with the smallest hash
-    of the id are used, so the driver holds 2 * max_labelled vectors at most.
-    Null ids or labels are passed over; of repeated labels the largest counts.
+    of the id are used, so the one task that fits holds 2 * max_labelled
+    vectors at most, whatever the input; only the model comes to the driver.
+    Null ids or labels are passed over; of repeated labels the largest counts,
+    and of repeated ids the least text.
     """
     require(docs, key, text)
     prepare(docs.sparkSession)
@@ -144,18 +161,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     if not rows:
         return None
     small = docs.sparkSession.createDataFrame(rows, chosen.schema)
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(small), "id").select("t", "label", "id").dropDuplicates(["id"]).select("t", "label")
-    got = map_arrow(texts, _collect_features, "counts binary, label int").toArrow()
-    counts = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(-1, WIDTH)
-    order = np.lexsort(counts.T[:8])
-    return Model(counts[order], got.column(1).to_numpy()[order], dimensions, neighbours)
+    texts = (
+        docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+        .join(F.broadcast(small), "id").groupBy("id", "label").agg(F.min("t").alias("t"))
+    )
+    counted = map_arrow(texts.select("id", "label", "t"), _collect_features, "id long, label int, counts binary")
+    fitted = counted.groupBy(F.lit(0).alias("all")).applyInArrow(_fitter(dimensions, neighbours), "model binary")
+    return pickle.loads(fitted.head()["model"])
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score in [0, 1] for every row of ``docs``.
 
     A null text counts as empty; an empty text has no neighbours nearer than
-    others, so all votes are equal.  Without a model the score is 0.5.
+    others, so all votes are equal.  Labelled rows as similar as the last
+    neighbour (by TIE) vote too, so ties don't hang on an order.  Repeated
+    rows are scored each, other columns are left out, and scores are rounded
+    to five digits.  Without a model the score is 0.5.
     """
     require(docs, key, text)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))

@@ -9,14 +9,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.na import Predicate, as_predicate
-from .session import cut, fresh, numbered
+from .session import fresh, numbered, written
+
+if TYPE_CHECKING:
+    from .operators.query import Query
 
 
 @dataclass(frozen=True)
@@ -378,12 +381,13 @@ class Frame:
 
     # ---- index
     def index(self, *keys: str) -> Frame:
-        """Clusters rows by key, so that a lookup reads one range."""
+        """Writes rows clustered by key to the shared folder as Parquet, so that
+        a lookup reads the files and row groups whose range holds its keys."""
         self._need(*keys)
         by = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
         frame = self if self.is_grouped_by(*keys) else self.sort(*keys)
         n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = cut(frame.df.repartitionByRange(n, *by).sortWithinPartitions(*by))
+        df = written(frame.df.repartitionByRange(n, *by).sortWithinPartitions(*by), "index")
         return replace(frame._new(df=df), index_keys=tuple(keys), grouped_by=tuple(keys))
 
     def lookup(self, **values: Any) -> Frame:
@@ -414,8 +418,12 @@ class Frame:
     def write_parquet(self, path: str) -> None:
         self.to_spark(ordered=bool(self.sorted_by)).write.mode("overwrite").parquet(path)
 
-    def query(self, *steps: Callable[[Frame], Frame]) -> Frame:
-        """Steps one after another."""
+    def query(self, *steps: Callable[[Frame], Frame]) -> Frame | Query:
+        """Steps one after another; without any, a :class:`Query`."""
+        if not steps:
+            from .operators.query import Query
+
+            return Query(self)
         out = self
         for step in steps:
             out = step(out)

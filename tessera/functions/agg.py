@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,10 +94,19 @@ class Agg:
 
     @staticmethod
     def python(fn: Callable[[list], Any], c: str, to: str, na: Any = None) -> Aggregate:
-        """Any Python function of the list of values, in row order."""
+        """Any Python function of the list of values, in row order.
+
+        A group's list must fit in memory.  Lists go to Python in Arrow
+        batches; prefer ``expr`` where Spark has the aggregate.
+        """
 
         def build(x: Column, o: Column, k: str) -> Column:
             rows = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(o.alias("o"), x.alias("v")))))
-            return F.udf(lambda v: fn(list(v)), to)(F.transform(rows, lambda r: r["v"]))
+
+            @F.pandas_udf(to)
+            def run(lists: pd.Series) -> pd.Series:
+                return pd.Series([None if v is None else fn(list(v.tolist())) for v in lists], dtype=object)
+
+            return run(F.transform(rows, lambda r: r["v"]))
 
         return Aggregate(c, build, na, ordered=True)

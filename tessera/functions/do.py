@@ -8,24 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 class Vector:
     """build(columns, over, running, kinds): ``over`` aggregates over all rows
-    of the group and ``running`` over those up to this one."""
+    of the group and ``running`` sums those up to this one."""
 
-    def __init__(self, columns: tuple[str, ...], build: Callable, one: bool):
-        self.columns, self.build, self.one = columns, build, one
+    def __init__(self, columns: tuple[str, ...], build: Callable, one: bool, drops: bool = False):
+        self.columns, self.build, self.one, self.drops = columns, build, one, drops
 
-    def to_column(self, types: dict[str, str], whole: WindowSpec | None, running: WindowSpec | None) -> Column:
-        over = (lambda a: a) if whole is None else (lambda a: a.over(whole))
-        cols = [F.col(f"`{c}`") for c in self.columns]
-        return self.build(cols, over, (lambda a: a.over(running)), [types[c] for c in self.columns])
+    def to_column(self, types: dict[str, str], over: Callable[[Column], Column], running: Callable[[Column], Column]) -> Column:
+        return self.build([F.col(f"`{c}`") for c in self.columns], over, running, [types[c] for c in self.columns])
 
 
-def _one(c: str, fn: Callable[[Column, str], Column], empty: Any = None, keep_empty: bool = False) -> Vector:
+def _one(c: str, fn: Callable[[Column, str], Column], keep_empty: bool = False) -> Vector:
     def build(cols, over, running, kinds):
         made = over(fn(cols[0], kinds[0]))
         return made if keep_empty else F.when(over(F.count(cols[0])) > 0, made)
@@ -34,6 +32,11 @@ def _one(c: str, fn: Callable[[Column, str], Column], empty: Any = None, keep_em
 
 
 class Do:
+    @staticmethod
+    def na_rm(c: str) -> Vector:
+        """The values that aren't NA, in order; other rows are dropped."""
+        return Vector((c,), lambda x, over, running, k: x[0], one=False, drops=True)
+
     @staticmethod
     def na_replace(c: str, value: Any) -> Vector:
         return Vector((c,), lambda x, over, running, k: F.coalesce(x[0], F.lit(value).cast(k[0])), one=False)
@@ -79,11 +82,11 @@ class Do:
 
     @staticmethod
     def cumsum(c: str) -> Vector:
-        return Vector((c,), lambda x, over, running, k: F.when(x[0].isNotNull(), running(F.sum(x[0])).cast(k[0])), one=False)
+        return Vector((c,), lambda x, over, running, k: F.when(x[0].isNotNull(), running(x[0]).cast(k[0])), one=False)
 
     @staticmethod
     def cumsum_into(c: str, to: str) -> Vector:
-        return Vector((c,), lambda x, over, running, k: F.when(x[0].isNotNull(), running(F.sum(x[0].cast(to))).cast(to)), one=False)
+        return Vector((c,), lambda x, over, running, k: F.when(x[0].isNotNull(), running(x[0].cast(to)).cast(to)), one=False)
 
     @staticmethod
     def add(a: str, b: str) -> Vector:
@@ -93,7 +96,7 @@ class Do:
 def _then(self: Vector, fn: Callable) -> Vector:
     """The same, with ``fn`` applied to the result (and its type)."""
     two = fn.__code__.co_argcount == 2
-    return Vector(self.columns, lambda x, over, running, k: fn(self.build(x, over, running, k), k[0]) if two else fn(self.build(x, over, running, k)), self.one)
+    return Vector(self.columns, lambda x, over, running, k: fn(self.build(x, over, running, k), k[0]) if two else fn(self.build(x, over, running, k)), self.one, self.drops)
 
 
 Vector.then = _then

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..frame import Frame, desc, keyed
 from ..session import fresh, numbered
+from ..session import running as running_sums
 
 
 def ranked(frame: Frame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -20,7 +21,7 @@ def ranked(frame: Frame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
 
     Ascending keys, and descending numbers turned around, are compared as a
     struct, so partial aggregation needs no sort; any other descending key
-    takes a row number within the group.
+    takes a row number, within the group or (without keys) of the frame.
     """
     parts: list[Column] = []
     for h, down in frame.order:
@@ -33,6 +34,9 @@ def ranked(frame: Frame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
             parts += [c.isNotNull(), ~c]
         elif isinstance(kind, (T.DoubleType, T.FloatType)):
             parts += [c.isNotNull(), ~F.isnan(c), -c]
+        elif not keys:
+            n = fresh("rank")
+            return numbered(frame.df, frame.ordering(), n), F.struct(F.col(n).alias("o0"))
         else:
             n = fresh("rank")
             w = Window.partitionBy(*(F.col(f"`{k}`") for k in keys)).orderBy(*frame.ordering())
@@ -43,7 +47,14 @@ def ranked(frame: Frame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
 class Grouped:
     def __init__(self, frame: Frame, keys: Sequence[str | desc], sort: bool | Sequence[str | desc]):
         """``sort``: groups in key order (True), or rows first sorted by keys
-        that start with the group's; False: groups as first met."""
+        that start with the group's; False: groups as first met.  Without keys
+        the group's are those the frame is sorted by."""
+        if not keys:
+            if not isinstance(sort, bool):
+                frame = frame.sort(*sort)
+            if not frame.sorted_by:
+                raise ValueError("a group takes keys, or a sorted frame")
+            keys, sort = tuple(desc(k) if down else k for k, down in frame.sorted_by), False
         want = keyed(keys, frame.columns)
         self.keys = tuple(k for k, _ in want)
         if not isinstance(sort, bool):
@@ -124,22 +135,50 @@ class Grouped:
         a, b = fresh("ord"), fresh("ord")
         return Frame(df.withColumnsRenamed({"__group": a, "__at": b}), tuple(out.names), ((a, False), (b, False)), {k: v for k, v in f.levels.items() if k in out.names})
 
+    def do_vector(self, fn: Callable[[int, pd.DataFrame, pd.DataFrame], list], kind: str, name: str = "value") -> Frame:
+        """fn gives a list for each group; all in a row, as a frame of one column."""
+        return self.do(lambda i, k, r: pd.DataFrame({name: pd.Series(list(fn(i, k, r)), dtype=object)}), f"`{name}` {kind}")
+
     def do_values(self, fn: Callable[[int, pd.DataFrame, pd.DataFrame], list], kind: str) -> list:
-        """fn gives a list for each group; all in a row, on the driver."""
-        return self.do(lambda i, k, r: pd.DataFrame({"v": pd.Series(list(fn(i, k, r)), dtype=object)}), f"v {kind}").get("v")
+        """As :meth:`do_vector`, a list on the driver."""
+        return self.do_vector(fn, kind).get("value")
 
 
 def transform(frame: Frame, keys: Sequence[str], vectors: dict[str, Any]) -> Frame:
-    parts = [F.col(f"`{k}`") for k in keys] or [F.lit(0)]
-    whole = Window.partitionBy(*parts)
-    running = whole.orderBy(*frame.ordering()).rowsBetween(Window.unboundedPreceding, 0) if frame.order else whole
+    """Do functions in each group, or in the whole frame without keys."""
     out = frame
+    whole = Window.partitionBy(*(F.col(f"`{k}`") for k in keys))
+    running = whole.orderBy(*frame.ordering()).rowsBetween(Window.unboundedPreceding, 0) if frame.order else whole
     for name, v in vectors.items():
         out._need(*v.columns)
-        if not keys and v.one:
-            one = out.df.agg(v.to_column(out.types, None, None).alias("__one"))  # one row
-            df = out.df.crossJoin(F.broadcast(one)).withColumn(name, F.col("__one")).drop("__one")
+        if keys:
+            df = out.df.withColumn(name, v.to_column(out.types, lambda a: a.over(whole), lambda c: F.sum(c).over(running)))
         else:
-            df = out.df.withColumn(name, v.to_column(out.types, whole, running))
+            df = _ungrouped(out, name, v)
         out = out._status(out._new(df=df, columns=out.columns if name in out.columns else (*out.columns, name)), [name])
+        if v.drops:
+            out = out._new(df=out.df.where(F.col(f"`{name}`").isNotNull()))
     return out
+
+
+def _ungrouped(frame: Frame, name: str, v: Any) -> DataFrame:
+    """A vector over all rows: totals are one broadcast row, and running sums
+    add up partitions."""
+    totals: dict[str, Column] = {}
+    sums: dict[str, Column] = {}
+
+    def later(into: dict[str, Column], kind: str) -> Callable[[Column], Column]:
+        def add(c: Column) -> Column:
+            into[made := fresh(kind)] = c
+            return F.col(made)
+
+        return add
+
+    column = v.to_column(frame.types, later(totals, "total"), later(sums, "sum"))
+    df = frame.df
+    if sums:
+        df = running_sums(df, frame.ordering(), sums)
+    if totals:
+        one = frame.df.agg(*(c.alias(n) for n, c in totals.items()))  # one row
+        df = df.crossJoin(F.broadcast(one))
+    return df.withColumn(name, column).drop(*totals, *sums)

@@ -6,8 +6,8 @@ sides.  Sums are taken over decimals, as float sums depend on their order.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from ..frame import Frame, desc, op
 from ..functions import Agg, Do, na
 from ..operators.bind import cbind, rbind
 from ..operators.join import join
-from ..sources import read_parquet, read_text
+from ..session import shared_folder
+from ..sources import read_bytes, read_parquet, read_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,47 +240,8 @@ def pivot_fill_na(t):
     return f.pivot(["l_returnflag"], "l_linenumber", fill=Agg.sum("q", na=0), labels=[1, 9], sort=[desc("l_returnflag")])
 
 
-_CUST = "SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey, c_name FROM customer"
-_ORD = "SELECT CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM orders WHERE o_orderkey % 50 = 0"
-
-
-def _keyed(t):
-    a = with_na(t("customer"), "k", F.col("c_custkey"), F.col("c_custkey") % 7 == 0).select("k", "c_custkey", "c_name")
-    b = with_na(t("orders").filter(F.col("o_orderkey") % 50 == 0), "k", F.col("o_custkey"), F.col("o_custkey") % 11 == 0).select("k", "o_orderkey")
-    return a, b
-
-
-@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST}) a JOIN ({_ORD}) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_inner(t):
-    """NA keys match NA keys; duplicates multiply."""
-    return join(_keyed(t), ["k"])
-
-
-@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST}) a LEFT JOIN ({_ORD}) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_left(t):
-    return join(_keyed(t), ["k"], how="left", sort=True)
-
-
-@query(f"SELECT coalesce(a.k, b.k) AS k, c_custkey, c_name, o_orderkey FROM ({_CUST}) a FULL JOIN ({_ORD}) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_outer(t):
-    return join(_keyed(t), ["k"], how="outer", sort=True)
-
-
-@query("SELECT n_nationkey AS k, n_name, s_suppkey, c_custkey FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON n_nationkey = c_nationkey WHERE n_nationkey < 5")
-def join_nway(t):
-    """Three frames on one key, each filtered before."""
-    frames = [t("nation").rename(n_nationkey="k"), t("supplier").rename(s_nationkey="k"), t("customer").rename(c_nationkey="k")]
-    return join(frames, ["k"], cols=["n_name", "s_suppkey", "c_custkey"], where=na.lt("k", 5), sort=True)
-
-
-@query("SELECT o_orderkey AS k, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 1000 AND l_orderkey < 1000")
-def join_match_only(t):
-    """Rows of the left for each match; no columns of the right."""
-    return join([t("orders").rename(o_orderkey="k"), t("lineitem").rename(l_orderkey="k").select("k")], ["k"], cols=["o_orderdate"], where=na.lt("k", 1000))
-
-
-_CUST_ALL = "SELECT CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey, c_name FROM customer"
-_ORD_ALL = "SELECT CASE WHEN o_custkey % 110 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM orders"
+_CUST = "SELECT CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey, c_name FROM customer"
+_ORD = "SELECT CASE WHEN o_custkey % 110 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM orders"
 
 
 def _whole(t):
@@ -289,31 +251,31 @@ def _whole(t):
     return a, b
 
 
-@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST_ALL}) a JOIN ({_ORD_ALL}) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_inner_whole(t):
+@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST}) a JOIN ({_ORD}) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_inner(t):
     """NA keys match NA keys; duplicates multiply."""
     return join(_whole(t), ["k"])
 
 
-@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST_ALL}) a LEFT JOIN ({_ORD_ALL}) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_left_whole(t):
+@query(f"SELECT a.k, c_custkey, c_name, o_orderkey FROM ({_CUST}) a LEFT JOIN ({_ORD}) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_left(t):
     return join(_whole(t), ["k"], how="left", sort=True)
 
 
-@query(f"SELECT coalesce(a.k, b.k) AS k, c_custkey, c_name, o_orderkey FROM ({_CUST_ALL}) a FULL JOIN ({_ORD_ALL}) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_outer_whole(t):
+@query(f"SELECT coalesce(a.k, b.k) AS k, c_custkey, c_name, o_orderkey FROM ({_CUST}) a FULL JOIN ({_ORD}) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_outer(t):
     return join(_whole(t), ["k"], how="outer", sort=True)
 
 
 @query("SELECT n_nationkey AS k, n_name, s_suppkey, c_custkey FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON n_nationkey = c_nationkey")
-def join_nway_whole(t):
+def join_nway(t):
     """Three whole frames on one key."""
     frames = [t("nation").rename(n_nationkey="k"), t("supplier").rename(s_nationkey="k"), t("customer").rename(c_nationkey="k")]
     return join(frames, ["k"], cols=["n_name", "s_suppkey", "c_custkey"], sort=True)
 
 
 @query("SELECT o_orderkey AS k, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def join_match_only_whole(t):
+def join_match_only(t):
     return join([t("orders").rename(o_orderkey="k"), t("lineitem").rename(l_orderkey="k").select("k")], ["k"], cols=["o_orderdate"])
 
 
@@ -383,8 +345,7 @@ def csv_round_trip(t):
     """Written as text and read again, NA and all."""
     f = t("nation").sort("n_nationkey").set(maybe=F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")))
     spark = f.df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base}/round-trip-{f.token}"
+    path = f"{shared_folder(spark)}/round-trip-{f.token}"
     f.write_text(path, sep=",", header=True)
     return read_text(spark, path, f.schema, sep=",", header=True)
 
@@ -393,3 +354,296 @@ def csv_round_trip(t):
 def inject_aggregate(t):
     """A value over another frame, recycled; and a constant."""
     return t("region").inject(t("nation"), total=Do.sum("n_nationkey"), two=2).select("r_name", "total", "two")
+
+
+def _made(t, rows: list[tuple], schema: str) -> Frame:
+    return Frame.from_rows(t("region").df.sparkSession, rows, schema)
+
+
+def _raises(fn: Callable[[], object]) -> bool:
+    """Whether ``fn`` refuses its arguments."""
+    try:
+        fn()
+    except (ValueError, IndexError):
+        return True
+    return False
+
+
+@query("SELECT * FROM (VALUES (1, 0.5, 'x'), (2, NULL, 'x'), (3, 2.0, 'x')) v(a, b, c)")
+def make_from_columns(t):
+    """A vector for each column, one value recycled."""
+    return Frame.from_columns(t("region").df.sparkSession, "a int, b decimal(2,1), c string", a=[1, 2, 3], b=[Decimal("0.5"), None, Decimal("2.0")], c="x")
+
+
+@query("SELECT * FROM (VALUES ('none', 0, 0, NULL), ('typed', 0, 2, NULL), ('labelled', 0, 1, 'b,a'), ('schema', 0, 3, NULL), ('like', 0, 3, 'b,a')) v(made, n_rows, n_columns, labels)")
+def make_empty(t):
+    """Frames without rows: of nothing, types, labels, a schema, another frame."""
+    spark = t("region").df.sparkSession
+    schema = t("nation").schema
+    labelled = Frame.empty(spark, "c string", {"c": ["b", "a"]})
+    made = {"none": Frame.empty(spark), "typed": Frame.empty(spark, "a int, b double", capacity=1000), "labelled": labelled, "schema": Frame.empty(spark, schema), "like": t("nation").set_labels("n_name", ["b", "a"]).like()}
+    return _made(t, [(k, f.count(), len(f.columns), ",".join(f.labels(c[0])) if (c := list(f.levels)) else None) for k, f in made.items()], "made string, n_rows int, n_columns int, labels string")
+
+
+@query("SELECT n_nationkey, n_name, true AS same, false AS touched FROM nation")
+def clone_and_reserve(t):
+    """A clone has the same rows and is equal; a changed frame isn't."""
+    f = t("nation").select("n_nationkey", "n_name")
+    copy = f.clone().reserve(1000)
+    return copy.set(same=copy == f, touched=copy.set(n_nationkey=0) == f)
+
+
+@query("""SELECT * FROM (VALUES (0, true, 'b', '', 1.5), (1, false, 'a', 'x', NULL), (2, NULL, NULL, NULL, -2.0), (3, true, 'c', 'y z', 0.0)) v(i, b, f, s, x)""")
+def text_cells(t):
+    """Booleans, labels (one that is new), empty strings, NA, cells too many."""
+    raw = b"0,T,b,,1.5,more\n1,false,a,x,NA\n2,NA,NA,NA,-2\n3,TRUE,c,y z,0,a,b\n"
+    f = read_bytes(t("region").df.sparkSession, raw, "i int, b boolean, f string, s string, x decimal(3,1)", sep=",", labels={"f": ["a", "b"]}, auto_label=True)
+    if f.labels("f") != ["a", "b", "c"]:
+        raise AssertionError(f.labels("f"))
+    return f
+
+
+@query("SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 1) IN ('PROMO', 'ECONOMY') THEN split_part(p_type, ' ', 1) END AS kind, p_size > 25 AS big FROM part")
+def text_factor_round_trip(t):
+    """A factor is written by its labels and read with them, gzipped."""
+    names = ["PROMO", "ECONOMY"]
+    first = F.split("p_type", " ")[0]
+    f = t("part").set(kind=F.when(first.isin(*names), first), big=F.col("p_size") > 25).set_labels("kind", names).select("p_partkey", "kind", "big")
+    path = f"{shared_folder(f.df.sparkSession)}/factors-{f.token}.gz"
+    f.write_text(path)
+    return read_text(f.df.sparkSession, path, f.schema, labels={"kind": names})
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+def parquet_round_trip(t):
+    """Saved and loaded."""
+    f = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    path = f"{shared_folder(f.df.sparkSession)}/saved-{f.token}"
+    f.write_parquet(path)
+    return read_parquet(f.df.sparkSession, path)
+
+
+@query("""SELECT * FROM (VALUES (0, 'Frame: 5 rows x 2 columns'), (1, 'r_regionkey <int> r_name <string>'), (3, '0 AFRICA'), (4, '1 AMERICA'), (5, '...')) v(i, line)""")
+def print_rows(t):
+    """Size, names with types, the first rows."""
+    f = t("region").set(r_regionkey=F.col("r_regionkey").cast("int")).sort("r_regionkey").select("r_regionkey", "r_name")
+    lines = [" ".join(x.split()) for x in f.show_text(rows=2).splitlines()]
+    return _made(t, [(i, x) for i, x in enumerate(lines) if not x.startswith("--")], "i int, line string")
+
+
+@query("SELECT s_name, s_suppkey FROM supplier")
+def retain_columns(t):
+    return t("supplier").retain("s_name", "s_suppkey")
+
+
+@query("SELECT n_nationkey, n_regionkey, 7 AS seven, n_nationkey + 1 AS more, true AS refused FROM nation")
+def add_columns(t):
+    """A column can be added once."""
+    f = t("nation").select("n_nationkey", "n_regionkey").add("seven", 7).add("more", op(lambda a: a + 1, ("n_nationkey",)))
+    return f.set(refused=_raises(lambda: f.add("seven", 8)))
+
+
+@query("SELECT r_regionkey, v, 9 AS w FROM region JOIN (VALUES (0, 'a'), (1, NULL), (2, 'c'), (3, 'd'), (4, 'e')) x(k, v) ON r_regionkey = k")
+def set_vector(t):
+    """A value for each row, in order; a list of one is recycled."""
+    return t("region").sort("r_regionkey").set(v=["a", None, "c", "d", "e"], w=[9]).select("r_regionkey", "v", "w")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, q * l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, coalesce(q + l_extendedprice + l_discount + l_tax, -1) AS total
+FROM (SELECT *, {_Q} AS q FROM lineitem)""")
+def set_four(t):
+    """Four inputs."""
+    f = with_na(t("lineitem"), "q", F.col("l_quantity"), F.col("l_linenumber") == 3)
+    four = ("q", "l_extendedprice", "l_discount", "l_tax")
+    f = f.set(charge=op(lambda q, p, d, x: q * p * (1 - d) * (1 + x), four), total=op(lambda q, p, d, x: q + p + d + x, four, na=-1.0))
+    return f.select("l_orderkey", "l_linenumber", "charge", "total")
+
+
+@query("SELECT o_orderkey, 3 * o_custkey AS a, 3 * o_custkey + 1 AS b, 6 * o_custkey + 1 AS c FROM orders")
+def set_sequential(t):
+    """In one call each statement sees what the ones before made."""
+    f = t("orders").set(a=op(lambda k: 3 * k, ("o_custkey",)), b=op(lambda a: a + 1, ("a",)), c=op(lambda a, b: a + b, ("a", "b")))
+    return f.select("o_orderkey", "a", "b", "c")
+
+
+@query("""SELECT i, n_nationkey AS value, total, running FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, CAST(sum(n_nationkey) OVER () AS INT) AS total,
+  CAST(sum(n_nationkey) OVER (ORDER BY n_nationkey) AS INT) AS running FROM nation)""")
+def get_vectors(t):
+    """A column's values and vector functions of it, as lists."""
+    f = t("nation").sort("n_nationkey")
+    values, total, running = f.get("n_nationkey"), f.apply(Do.sum("n_nationkey")), f.apply(Do.cumsum("n_nationkey"))
+    return _made(t, [(i, v, total[0], r) for i, (v, r) in enumerate(zip(values, running, strict=True))], "i long, value int, total int, running int")
+
+
+@query("SELECT r_regionkey, CASE r_regionkey WHEN 2 THEN 'changed' ELSE r_name END AS r_name, 'AMERICA' AS cell FROM region")
+def cells(t):
+    """One cell read, another set, by row number."""
+    f = t("region").sort("r_regionkey")
+    return f.set_cell("r_name", 2, "changed").set(cell=f.cell("r_name", 1)).select("r_regionkey", "r_name", "cell")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity + 100 * l_discount > 500 * l_tax")
+def filter_three_columns(t):
+    """A predicate of three columns."""
+    return t("lineitem").filter(na.expr(lambda q, d, x: q + 100 * d > 500 * x, "l_quantity", "l_discount", "l_tax")).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT p_partkey, (row_number() OVER (ORDER BY b DESC NULLS FIRST, p_name, p_partkey) - 1)::BIGINT AS place
+FROM (SELECT p_partkey, p_name, CASE WHEN p_brand <> 'Brand#11' THEN p_brand END AS b FROM part)""")
+def sort_strings(t):
+    """Strings, descending with NA first, then ascending."""
+    f = with_na(t("part"), "b", F.col("p_brand"), F.col("p_brand") == "Brand#11").sort(desc("b"), "p_name", "p_partkey")
+    return Frame(f.numbered("place").select("p_partkey", "place"), ("p_partkey", "place"))
+
+
+@query("SELECT c_custkey, true AS kept, false AS other, true AS sorted FROM customer")
+def sort_again(t):
+    """A frame that is sorted by the keys stays as it is."""
+    f = t("customer").sort("c_nationkey", desc("c_acctbal"))
+    return f.set(kept=f.sort("c_nationkey") is f, other=f.sort("c_acctbal") is f, sorted=f.is_sorted_by("c_nationkey", desc("c_acctbal"))).select("c_custkey", "kept", "other", "sorted")
+
+
+@query("""SELECT o_orderkey, count(v) OVER w > 0 AS has_data, CASE WHEN count(v) OVER w > 0 THEN CAST(sum(v) OVER w AS BIGINT) END AS total, avg(v) OVER w AS mean,
+  CASE WHEN count(b) OVER w > 0 THEN count(*) FILTER (WHERE b) OVER w END AS true_count, avg(b::INT) OVER w AS true_freq
+FROM (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN 1 + o_orderkey % 100 END AS v, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice > 100000 END AS b FROM orders) WINDOW w AS (PARTITION BY o_custkey)""")
+def do_scalars(t):
+    """Vector functions of one value for each group."""
+    f = with_na(t("orders"), "v", 1 + F.col("o_orderkey") % 100, F.col("o_orderkey") % 5 == 0)
+    f = with_na(f, "b", F.col("o_totalprice") > 100000, F.col("o_orderkey") % 3 == 0)
+    out = f.group("o_custkey").transform(has_data=Do.has_data("v"), total=Do.sum_into("v", "long"), mean=Do.mean("v"), true_count=Do.true_count("b"), true_freq=Do.true_freq("b"))
+    return out.select("o_orderkey", "has_data", "total", "mean", "true_count", "true_freq")
+
+
+@query("""SELECT o_orderkey, CASE WHEN v IS NOT NULL THEN CAST(sum(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) END AS running
+FROM (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(1 + o_orderkey % 100 AS INT) END AS v FROM orders)""")
+def do_cumsum(t):
+    f = with_na(t("orders"), "v", (1 + F.col("o_orderkey") % 100).cast("int"), F.col("o_orderkey") % 5 == 0).sort("o_orderkey")
+    return f.group("o_custkey").transform(running=Do.cumsum("v")).select("o_orderkey", "running")
+
+
+@query("""SELECT o_orderkey, CASE WHEN v IS NOT NULL THEN CAST(sum(v) OVER (ORDER BY o_orderkey) AS BIGINT) END AS running, v / sum(v) OVER () AS share
+FROM (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN 1 + o_orderkey % 100 END AS v FROM orders)""")
+def do_whole_frame(t):
+    """Running sums and shares over all rows."""
+    f = with_na(t("orders"), "v", 1 + F.col("o_orderkey") % 100, F.col("o_orderkey") % 5 == 0).sort("o_orderkey")
+    return f.transform(running=Do.cumsum_into("v", "long"), share=Do.freq("v")).select("o_orderkey", "running", "share")
+
+
+@query("""SELECT o_orderkey, v, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS place
+FROM (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS v FROM orders) WHERE v IS NOT NULL""")
+def do_na_rm(t):
+    """Rows without a value are dropped, the others keep their order."""
+    f = with_na(t("orders"), "p", F.col("o_custkey"), F.col("o_orderkey") % 5 == 0).sort("o_orderkey").transform(v=Do.na_rm("p"))
+    return Frame(f.numbered("place").select("o_orderkey", "v", "place"), ("o_orderkey", "v", "place"))
+
+
+@query("""SELECT best AS value, (row_number() OVER (ORDER BY c_nationkey, best DESC) - 1)::BIGINT AS place
+FROM (SELECT c_nationkey, unnest([max(c_acctbal), min(c_acctbal)]) AS best FROM customer GROUP BY c_nationkey)""")
+def do_vector_frame(t):
+    """A list for each group, all in a row as one column."""
+    f = t("customer").group("c_nationkey", sort=True).do_vector(lambda i, k, r: [r["c_acctbal"].max(), r["c_acctbal"].min()], "double")
+    return Frame(f.numbered("place").select("value", "place"), ("value", "place"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY ALL")
+def group_by_sort_alone(t):
+    """A group without keys takes those of the sort."""
+    f = t("orders").set(price=money("o_totalprice")).sort("o_orderpriority", desc("o_orderstatus"))
+    return f.group().aggregate(n=Agg.count("o_orderkey"), total=Agg.sum("price")).set(total=F.col("total").cast("double"))
+
+
+@query("""SELECT o_orderpriority, n, true AS late_filter, true AS two_filters, true AS no_group FROM
+(SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderpriority)""")
+def query_placement(t):
+    """One query's statements, and those that come in a wrong place."""
+    f = t("orders")
+    big = na.gt("o_totalprice", 100000)
+    out = f.query().filter(big).sort("o_orderpriority").select("o_orderpriority", "n").aggregate(n=Agg.count("o_orderkey"), top=Agg.max("o_totalprice"))
+    wrong = {
+        "late_filter": lambda: f.query().sort("o_custkey").filter(big),
+        "two_filters": lambda: f.query().filter(big).filter(big),
+        "no_group": lambda: f.query().filter(big).aggregate(n=Agg.count("o_orderkey")),
+    }
+    return out.set(**{k: _raises(fn) for k, fn in wrong.items()})
+
+
+@query("SELECT * FROM (VALUES ('outer unsorted', true), ('kind', true), ('no column', true), ('same column', true), ('type', true), ('one frame', true), ('no key', true)) v(what, refused)")
+def join_checks(t):
+    a, b = t("nation").rename(n_nationkey="k"), t("region").rename(r_regionkey="k")
+    wrong = {
+        "outer unsorted": lambda: join([a, b], ["k"], how="outer"),
+        "kind": lambda: join([a, b], ["k"], how="right"),
+        "no column": lambda: join([a, b], ["k"], cols=["q"]),
+        "same column": lambda: join([a, a], ["k"]),
+        "type": lambda: join([a, b.set(k=F.col("k").cast("string"))], ["k"]),
+        "one frame": lambda: join([a], ["k"]),
+        "no key": lambda: join([a, b], []),
+    }
+    return _made(t, [(k, _raises(fn)) for k, fn in wrong.items()], "what string, refused boolean")
+
+
+@query("""SELECT p_partkey, kind, CASE kind WHEN 'PROMO' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'ECONOMY' THEN 2 END AS code FROM (
+  SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 1) IN ('PROMO', 'SMALL') THEN split_part(p_type, ' ', 1) END AS kind FROM part
+  UNION ALL SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 1) IN ('ECONOMY', 'PROMO') THEN split_part(p_type, ' ', 1) END FROM part)""")
+def rbind_factors(t):
+    """The labels are those of the first frame, then new ones of the others."""
+    first = F.split("p_type", " ")[0]
+    parts = [t("part").set(kind=F.when(first.isin(*x), first)).set_labels("kind", x).select("p_partkey", "kind") for x in (["PROMO", "SMALL"], ["ECONOMY", "PROMO"])]
+    f = rbind(*parts)
+    return f.set(code=f.code("kind"))
+
+
+@query("""SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer)
+JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 20 AS i FROM orders) USING (i) WHERE i <= 40""")
+def cbind_slice(t):
+    """A slice of one frame beside a slice of another."""
+    return cbind(t("customer").sort("c_custkey").select("c_custkey").slice(0, 40), t("orders").sort("o_orderkey").select("o_orderkey").slice(20, 40))
+
+
+@query("SELECT o_orderkey, true AS indexed, true AS refused FROM orders WHERE o_custkey = 42 AND o_orderstatus = 'O'")
+def index_invalidated(t):
+    """An index of two keys; a changed frame has none."""
+    f = t("orders").index("o_custkey", "o_orderstatus")
+    changed = f.set(o_totalprice=0.0)
+    out = f.lookup(o_custkey=42, o_orderstatus="O").select("o_orderkey")
+    return out.set(indexed=f.index_keys == ("o_custkey", "o_orderstatus"), refused=_raises(lambda: changed.lookup(o_custkey=42, o_orderstatus="O")))
+
+
+@query("SELECT s_suppkey, kind, CASE kind WHEN 'odd' THEN 0 ELSE 1 END AS code FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'odd' ELSE 'even' END AS kind FROM supplier)")
+def copy_labels(t):
+    """A factor with the labels of another frame's."""
+    other = t("region").set(x=F.lit("odd")).set_labels("x", ["odd", "even"])
+    f = t("supplier").set(kind=F.when(F.col("s_suppkey") % 2 == 1, "odd").otherwise("even")).copy_labels("kind", other, "x")
+    return f.set(code=f.code("kind")).select("s_suppkey", "kind", "code")
+
+
+@query("""SELECT * FROM (VALUES ('sorted', true), ('by a prefix', true), ('by another', false), ('grouped', true), ('aggregated', true), ('after a change', false),
+  ('after dropping another', true), ('after sorting anew', false), ('after filtering', true)) v(what, answer)""")
+def status(t):
+    """Sorted, grouped and aggregated, as operators keep or lose it."""
+    f = t("orders").sort("o_orderpriority", "o_orderstatus")
+    g = f.group("o_orderpriority", "o_orderstatus").aggregate(n=Agg.count("o_orderkey"))
+    answers = {
+        "sorted": f.is_sorted_by("o_orderpriority", "o_orderstatus"),
+        "by a prefix": f.is_sorted_by("o_orderpriority"),
+        "by another": f.is_sorted_by("o_orderstatus"),
+        "grouped": g.is_grouped_by("o_orderpriority", "o_orderstatus"),
+        "aggregated": g.is_aggregated_by("o_orderstatus", "o_orderpriority"),
+        "after a change": g.set(o_orderstatus="x").is_aggregated_by("o_orderpriority", "o_orderstatus"),
+        "after dropping another": g.drop("n").is_grouped_by("o_orderpriority", "o_orderstatus"),
+        "after sorting anew": g.sort("n").is_grouped_by("o_orderpriority", "o_orderstatus"),
+        "after filtering": f.filter(na.gt("o_totalprice", 0)).is_sorted_by("o_orderpriority"),
+    }
+    return _made(t, list(answers.items()), "what string, answer boolean")
+
+
+@query("""SELECT i, s, d, b, ts, count(*) AS n FROM (SELECT CASE WHEN l_linenumber < 4 THEN l_linenumber END AS i, CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS s,
+  CASE WHEN l_tax < 0.05 THEN l_tax END AS d, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity > 25 END AS b, CAST(date_trunc('year', l_shipdate) AS DATE) AS ts FROM lineitem) GROUP BY ALL""")
+def group_by_keys_of_all_types(t):
+    """Keys of five types, each with NA."""
+    f = t("lineitem")
+    f = with_na(f, "i", F.col("l_linenumber"), F.col("l_linenumber") >= 4)
+    f = with_na(f, "s", F.col("l_returnflag"), F.col("l_returnflag") == "A")
+    f = with_na(f, "d", F.col("l_tax"), F.col("l_tax") >= 0.05)
+    f = with_na(f, "b", F.col("l_quantity") > 25, F.col("l_linenumber") % 2 != 0).set(ts=F.trunc("l_shipdate", "year"))
+    return f.group("i", "s", "d", "b", "ts").aggregate(n=Agg.count("l_orderkey"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+from ..session import cut
+
+__all__ = ["cut", "free_name", "map_arrow", "partitions", "prepare", "release", "require", "table", "written"]
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows in one Arrow batch sent to Python; texts can be long, so it is small.
@@ -29,21 +32,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names for checkpoints; only where
-    none is named (tests) one is made."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of the plans of finished phases, so that Spark's cleaner drops
     their shuffle files, broadcasts and checkpoints now rather than when the
@@ -54,9 +42,7 @@ def release(spark: SparkSession) -> None:
 
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.written(df, "table")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,7 +71,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
-
-
-def text_or_empty(name: str):
-    return F.coalesce(F.col(name), F.lit(""))

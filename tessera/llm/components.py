@@ -1,4 +1,4 @@
-"""Connected components of links, as distributed label propagation."""
+"""Connected components of links, by rounds of contraction."""
 
 from __future__ import annotations
 
@@ -7,26 +7,40 @@ from pyspark.sql import functions as F
 
 from .common import cut, release
 
+#: How often a round follows pointers to pointers.
+JUMPS = 2
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) from columns a, b.
 
-    Every round takes the least label of a node's neighbours and then follows
-    labels to their own labels, so paths halve.  Only joins and partial
-    minima are used; each round is checkpointed.  No edges, no rows.
+    In a round every node points to the least of itself and its neighbours,
+    and follows pointers 2 ** JUMPS steps.  Nodes that arrive together become
+    one, and only links between different ones go on to the next round, so
+    rounds grow with the logarithm of the longest path at most and links
+    shrink.  The least node of a component always stays itself, so it is what
+    all arrive at.  Only joins and partial minima are used, and each round is
+    checkpointed.  No edges, no rows; null nodes are passed over.
     """
+    spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = cut(both.distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = cut(labels)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
-        own = labels.select("node", "label", F.col("label").alias("old"))
-        least = own.unionByName(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = cut(least.join(above, "label").select("node", "old", F.least("label", "above").alias("label")))
-        labels = after.select("node", "label")
-        changed = after.where("old <> label").head(1)
-        if not changed:
-            release(edges.sparkSession)
-            return labels
+    if not both.head(1):
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    rounds = []
+    while not rounds or both.head(1):
+        to = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")))
+        for _ in range(JUMPS):
+            on = to.select(F.col("node").alias("to"), F.col("to").alias("on"))
+            to = to.join(on, "to").select("node", F.col("on").alias("to"))
+        to = cut(to)
+        left, right = (to.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")) for end in ("a", "b"))
+        both = both.join(left, "a").join(right, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        both = cut(both.distinct())
+        rounds.append(to)
+    labels = rounds[0].withColumnRenamed("to", "label")
+    for to in rounds[1:]:
+        labels = labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    labels = cut(labels) if len(rounds) > 1 else labels
+    release(spark)
+    return labels

@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,8 +40,13 @@ NGRAM = 5
 PERCENT = 80
 #: Words of bits that say which sets are candidates; broadcast, fixed size.
 BITMAP_WORDS = 1 << 18
-#: Sets of a candidate group that one task compares with each other.
-GROUP = 2048
+#: Sets, and bytes of their compressed texts, in one block of a candidate group.
+GROUP = 512
+GROUP_BYTES = 2 << 20
+#: Compressed bytes that one task verifies, about.
+TASK_BYTES = 8 << 20
+#: Keys that are merged in a task before they are shuffled.
+MERGE = 1 << 20
 
 
 def bounds(percent: int) -> Iterator[tuple[int, int]]:
@@ -162,41 +167,77 @@ def keys_of(g: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), _digest(text).alias("digest"), F.col(text).cast("string").alias("t"))
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and set_id of every row."""
+    """doc_id, digest (of the text), n_shingles and set_id of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in K.blocks(batch.column(1)):
+            for block in K.blocks(batch.column(2)):
                 g, at = shingles(block, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(np.diff(at)), pa.array(set_ids(g, at))], ["doc_id", "n_shingles", "set_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(block.first, block.n) for i in (0, 1)), pa.array(np.diff(at)), pa.array(set_ids(g, at))], ["doc_id", "digest", "n_shingles", "set_id"]
+                )
+
+    return map_arrow(_rows(docs, key, text), run, "doc_id long, digest long, n_shingles long, set_id long")
+
 
-    return map_arrow(_rows(docs, key, text), run, "doc_id long, n_shingles long, set_id long")
+def merged(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, set_id) that link the same sets as the given ones.
+
+    Each key stays with its first owner alone.  Each other owner is linked to
+    that one by a key of the two, once however many keys they share.
+    """
+    if not len(keys):
+        return keys, owners
+    order = np.argsort(keys, kind="stable")
+    k, o = keys[order], owners[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    head = np.repeat(o[begin], np.diff(np.append(begin, len(k))))
+    pairs = np.unique(np.stack([head, o], 1)[head != o], axis=0)
+    with np.errstate(over="ignore"):
+        own = K.mix(K.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) + np.uint64(0x2545F491))
+    return np.concatenate([k[begin], own, own]), np.concatenate([o[begin], pairs[:, 0], pairs[:, 1]])
 
 
 def _keys(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """key, set_id; a set that was met in the same task isn't indexed again."""
+    """key, set_id; a set that was met in the same task isn't indexed again,
+    and a key that many sets of a task share leaves it about once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        keys: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, o = merged(np.concatenate(keys), np.concatenate(owners))
+            for i in range(0, len(k), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].view(np.int64)), pa.array(o[i : i + (1 << 16)])], ["key", "set_id"])
+
         for batch in batches:
-            for block in K.blocks(batch.column(1)):
+            for block in K.blocks(batch.column(2)):
                 g, at = shingles(block, n)
                 ids = set_ids(g, at).tolist()
                 if len(met) > 500_000:
                     met.clear()
-                keys, owners, counts = [], [], []
                 for i, x in enumerate(ids):
                     if at[i + 1] - at[i] > 1 and x not in met:
                         met.add(x)
                         keys.append(keys_of(g[at[i] : at[i + 1]], percent))
-                        owners.append(x)
-                        counts.append(len(keys[-1]))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), counts))], ["key", "set_id"])
+                        owners.append(np.full(len(keys[-1]), x, np.int64))
+                        held += len(keys[-1])
+                if held > MERGE:
+                    yield from flush()
+                    keys, owners, held = [], [], 0
+        if keys:
+            yield from flush()
 
     return map_arrow(_rows(docs, key, text), run, "key long, set_id long")
 
@@ -306,12 +347,15 @@ def _sets_of(z: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def _verifier(n: int, percent: int):
-    """A task's rows: job, side (0: with each other, or left; 1: right), set_id, copies, z."""
+    """A task's rows: job, whole (the job is a whole group), side (0: with
+    each other, or left; 1: right), set_id, copies, z.  Gives a member, the
+    least of those it reaches here, its links here, and ``whole``."""
 
     def verify(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("job").to_pylist(), t.column("side").to_pylist(), t.column("set_id").to_pylist(), t.column("copies").to_pylist(), range(len(t)), strict=True))
         z = t.column("z")
-        a, b, degree = [], [], []
+        whole = t.column("whole").to_pylist()
+        a, b, degree, final = [], [], [], []
         i = 0
         while i < len(rows):
             j = i
@@ -333,67 +377,107 @@ def _verifier(n: int, percent: int):
             a += [members[k][2] for k in linked]
             b += [members[root[k]][2] for k in linked]
             degree += near[linked].astype(np.int64).tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(degree, pa.int64())], ["a", "b", "links"])
+            final += [whole[members[0][4]]] * len(linked)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(degree, pa.int64()), pa.array(final, pa.bool_())], ["a", "b", "links", "whole"])
 
     return verify
 
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row.
-
-    Two rows link when 100 * intersection >= percent * union of their sets of
-    distinct word n-grams (a shorter text is one n-gram; an empty or null one
-    has none and links with nothing).  component_id is the least doc_id that
-    links reach, n_links the number of other rows it links with.  Rows with
-    equal sets are one class, so copies aren't paired.  Rows with a null key
-    count as documents with a null id, which is no component's least unless
-    all its ids are null.  N-grams and sets are told apart by 64-bit hashes.
-    """
+def _joined(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """doc_id, digest, n_shingles, component (a set_id; null: no set),
+    component_id and n_links of every row."""
     require(docs, key, text)
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     members = cut(sets(docs, n, key, text))
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
     w = Window.partitionBy("key")
-    release(docs.sparkSession)
+    release(spark)
     shared = _keys(docs, n, percent, key, text).select("key", "set_id", F.min("set_id").over(w).alias("a"), F.max("set_id").over(w).alias("z")).where("a <> z")
     stars = cut(shared.where("set_id <> a").select(F.col("set_id").alias("b"), "a").distinct())
     groups = components(stars)  # node, label of candidate groups
-    size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.col("label").alias("of"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
-    texts = _texts(docs, n, _bitmap(groups.select(F.col("node").alias("set_id"))), key, text)
+    texts = cut(_texts(docs, n, _bitmap(groups.select(F.col("node").alias("set_id"))), key, text))
+    # A block is bounded in sets and in bytes.  A group of one block is one
+    # job; of more, each pair of blocks is one, so a set goes to as many jobs
+    # as there are blocks.
+    sized = groups.join(texts.select("set_id", F.length("z").alias("bytes")), F.col("node") == F.col("set_id"))
+    size = sized.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    size = cut(size.select(F.col("label").alias("of"), "bytes", F.ceil(F.greatest(F.col("n") / GROUP, F.col("bytes") / GROUP_BYTES)).cast("int").alias("blocks")))
     nodes = (
-        groups.join(size, F.col("label") == F.col("of")).withColumnRenamed("node", "set_id")
+        groups.join(size.drop("bytes"), F.col("label") == F.col("of")).withColumnRenamed("node", "set_id")
         .join(classes.select("set_id", "copies"), "set_id").join(texts, "set_id")
         .select("set_id", "label", "blocks", "copies", "z", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"))
     )
-    # A group of one block is one job; of more, each pair of blocks is one, so
-    # a set goes to as many jobs as there are blocks.
     jobs = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lower, upper = F.least("block", "other"), F.greatest("block", "other")
-    jobs = jobs.select(F.xxhash64("label", lower, upper).alias("job"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "set_id", "copies", "z")
-    task = F.pmod("job", F.lit(max(4 * partitions(docs), 16)))
-    found = cut(jobs.groupBy(task.alias("task")).applyInArrow(_verifier(n, percent), "a long, b long, links long"))
-    labels = components(found)
+    jobs = jobs.select(F.xxhash64("label", lower, upper).alias("job"), (F.col("blocks") == 1).alias("whole"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "set_id", "copies", "z")
+    moved = size.agg(F.sum(F.col("bytes") * F.col("blocks")).alias("n")).head()["n"] or 0
+    task = F.pmod("job", F.lit(max(4 * partitions(docs), moved // TASK_BYTES)))
+    found = cut(jobs.groupBy(task.alias("task")).applyInArrow(_verifier(n, percent), "a long, b long, links long, whole boolean"))
+    # within whole groups the labels are final
+    labels = found.where("whole").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = labels.unionByName(components(found.where("NOT whole")))
     degrees = found.groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
     named = classes.join(labels, F.col("set_id") == F.col("node"), "left").join(degrees, F.col("set_id") == F.col("linked"), "left")
-    named = named.select("set_id", "least", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = cut(named.select("set_id", "least", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    release(spark)
     least = named.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "of")
-    named = named.join(least, F.col("label") == F.col("of")).select(F.col("set_id").alias("class"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = named.join(least, F.col("label") == F.col("of")).select(F.col("set_id").alias("class"), "label", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return members.join(named, (F.col("set_id") == F.col("class")) & (F.col("n_shingles") > 0), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "digest", "n_shingles", F.col("label").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
-#: Ids of removed documents that are broadcast; more are joined by a shuffle.
+def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row.
+
+    Two rows link when 100 * intersection >= percent * union of their sets of
+    distinct word n-grams (a shorter text is one n-gram; an empty or null one
+    has none and links with nothing).  component_id is the least doc_id that
+    links reach, n_links the number of other rows it links with.  Rows with
+    equal sets are one class, so copies aren't paired; repeated rows and rows
+    that share an id count each.  Rows with a null key count as documents with
+    a null id, which is no component's least unless all its ids are null.
+    Other columns are left out.  N-grams and sets are told apart by 64-bit
+    hashes.
+    """
+    return _joined(docs, n, percent, key, text).drop("digest", "component")
+
+
+#: Removed documents whose ids are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the
-    document with the least id stays.  Rows with a null id all stay."""
-    joined = jaccard_join(docs, n, percent, key, text)
-    removed = free_name(docs, "removed")
-    gone = cut(joined.where("component_id <> doc_id").select(F.col("doc_id").alias(removed)).distinct())
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count()
-    side = F.broadcast(gone) if few <= MAX_BROADCAST_IDS else gone
-    return docs.join(side, F.col(key).cast("long") == F.col(removed), "left_anti")
+    """The rows of ``docs`` without near copies: one row of each component.
+
+    It is the row with the least id (a null id is the largest), and of rows
+    that share that id the one whose text has the least hash; of rows equal in
+    both one stays.  Rows with one id in different components don't affect
+    each other.  Rows without a set (null or empty text) all stay.
+    """
+    joined = _joined(docs, n, percent, key, text).where("component IS NOT NULL")
+    rows = cut(joined.groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    first = first.select(F.col("component").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
+    marked = rows.join(first, F.col("component") == F.col("of")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
+    id_name, digest_name = free_name(docs, "removed_id"), free_name(docs, "removed_digest")
+    marked = cut(marked.where("NOT stays OR copies > 1").select(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name), "stays"))
+
+    def side(stays: bool) -> tuple[DataFrame, int]:
+        part = marked.where("stays" if stays else "NOT stays").drop("stays")
+        few = part.limit(MAX_BROADCAST_IDS + 1).count()
+        return (F.broadcast(part) if few <= MAX_BROADCAST_IDS else part), few
+
+    same = F.col(key).cast("long").eqNullSafe(F.col(id_name)) & (_digest(text) == F.col(digest_name))
+    gone, n_gone = side(False)
+    if n_gone:
+        docs = docs.join(gone, same, "left_anti")
+    repeated, n_repeated = side(True)
+    if n_repeated:
+        # of rows with one id and text, one stays, by a hash of the columns
+        sortable = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = docs.join(repeated, same, "left_semi").groupBy(F.col(key).cast("long"), _digest(text)).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in sortable))).alias("row"))
+        docs = docs.join(repeated, same, "left_anti").unionByName(one.select("row.*"))
+    return docs

@@ -1,13 +1,20 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text's words, weighted by how often they occur, are sampled ``SAMPLES``
-times.  For each word and sample a hash gives r and c, both from Gamma(2, 1),
-and a uniform b; with t = floor(ln weight / r + b) the word's value is
-ln c - r (t + 1 - b), and the sample is the word and t with the least value.
+times.  Each word and sample has r and c from Gamma(2, 1) and a uniform b,
+all from hashes; with t = floor(ln weight / r + b) the word's value is
+c exp(-r (t + 1 - b)), and the sample is the word and t with the least value.
 Two texts share a sample with the probability of their generalised Jaccard
-similarity.  As r, c, b and t determine the value, a sample is identified by
+similarity.  As the draws and t determine the value, a sample is identified by
 it, and a fingerprint is the hashes of the least values.
 
+A gamma draw is the sum of two exponential ones, and their ratio is uniform
+and independent of the sum.  So let v, v', u2 be uniform, c = -ln v - ln v',
+u1 = ln v / (ln v + ln v'), r = -ln u1 - ln u2 and b = -ln u2 / r.  Then the
+value is -ln(v) exp(-r t) with t = floor((ln weight - ln u2) / r), and for a
+word that occurs once t is 0 and the value -ln v: it needs no logarithm, as
+the greatest exp(-value) can be sought instead of the least value.
+
 Everything is DataFrame expressions.  A text's words stay in the partition
 that holds the text: only texts and fingerprints are shuffled.
 """
@@ -31,42 +38,43 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def least_values(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """key, side, m0 ... from key, side, text; a text without words has no row.
+    """key, side, m0 ... from key, side, text; a text without words has no
+    row.  m0 ... are exp(-v) of the samples' least values v.
 
     The input must be partitioned by key, so that nothing is shuffled here.
     """
     words = texts.select("key", "side", F.explode(F.split("text", SEPARATORS)).alias("word")).where(F.col("word") != "")
-    counted = words.select("key", "side", F.xxhash64("word").alias("h")).groupBy("key", "side", "h").agg(F.count(F.lit(1)).alias("n"))
-    terms = counted.select("key", "side", "h", F.log(F.col("n").cast("double")).alias("w"))
-
-    def product(x: Column, k: int) -> Column:
-        """-ln of the product of two uniform numbers, from 26 bits of x: a
-        sum of two exponential draws, and so a draw from Gamma(2, 1)."""
-        first = F.shiftrightunsigned(x, 13 * k).bitwiseAND(8191) + 0.5
-        second = F.shiftrightunsigned(x, 13 * (k + 1)).bitwiseAND(8191) + 0.5
-        return -F.log(first * second * 2.0**-26)
+    terms = words.select("key", "side", F.xxhash64("word").alias("h")).groupBy("key", "side", "h").agg(F.count(F.lit(1)).alias("n"))
 
     def value(k: int) -> Column:
         x = F.col(f"x{k}")
-        r, b = product(x, 0), F.shiftrightunsigned(x, 52) * 2.0**-12
-        # for a word that occurs once, t is 0
-        steps = F.when(F.col("w") == 0.0, 1.0 - b).otherwise(F.floor(F.col("w") / r + b).cast("double") + 1.0 - b)
-        return F.log(product(x, 2)) - r * steps
+        v = (F.shiftrightunsigned(x, 12) + 0.5) * 2.0**-52
+        more = F.xxhash64(x)
+        ln_v = F.log(v)
+        ln_w = F.log((more.bitwiseAND((1 << 26) - 1) + 0.5) * 2.0**-26)
+        ln_u = F.log((F.shiftrightunsigned(more, 38) + 0.5) * 2.0**-26)
+        r = -F.log(ln_v / (ln_v + ln_w)) - ln_u
+        t = F.floor((F.log(F.col("n").cast("double")) - ln_u) / r)
+        return F.when(F.col("n") == 1, v).otherwise(F.exp(ln_v * F.exp(-r * t)))
 
     # one round of hashing: the word's hash, changed by a constant of the sample
     constants = mix(np.arange(1, samples + 1, dtype=np.uint64)).view(np.int64).tolist()
-    hashed = terms.select("key", "side", "w", *(F.xxhash64(F.col("h").bitwiseXOR(F.lit(x))).alias(f"x{k}") for k, x in enumerate(constants)))
-    return hashed.groupBy("key", "side").agg(*(F.min(value(k)).alias(f"m{k}") for k in range(samples)))
+    hashed = terms.select("key", "side", "n", *(F.xxhash64(F.col("h").bitwiseXOR(F.lit(x))).alias(f"x{k}") for k, x in enumerate(constants)))
+    return hashed.groupBy("key", "side").agg(*(F.max(value(k)).alias(f"m{k}") for k in range(samples)))
 
 
 def fingerprint(samples: int = SAMPLES) -> Column:
-    """Eight hex digits for each sample of ``least_values``."""
-    return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(f"m{k}").bitwiseAND(0xFFFFFFFF)), 8, "0") for k in range(samples))))
+    """Four bytes for each sample of ``least_values``."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(f"m{k}").bitwiseAND(0xFFFFFFFF)), 8, "0") for k in range(samples))))
+
+
+def no_words(samples: int = SAMPLES) -> Column:
+    return F.unhex(F.lit("0" * (8 * samples)))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
     """Share of equal samples; texts without words are like each other only."""
-    same = sum(((F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("int") for k in range(samples)), F.lit(0))
+    same = sum(((F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4)).cast("int") for k in range(samples)), F.lit(0))
     return same / float(samples)
 
 
@@ -103,36 +111,40 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     """key and fingerprint of every whole text, by words and their counts.
 
     Null and empty texts, and those of separators alone, share one
-    fingerprint.  Rows must have distinct keys; other columns are left out.
+    fingerprint.  Keys may be null or repeated: each row has its own text's
+    fingerprint, which is worked out once for all copies of the text.  Other
+    columns are left out.
     """
     require(docs, key, text)
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(key).alias("key"), F.lit(0).alias("side"), F.coalesce(text, F.lit("")).alias("text")).repartition(FINER * partitions(docs), "key")
-    prints = least_values(texts, samples).select("key", fingerprint(samples).alias("fingerprint"))
-    return texts.select("key").join(prints, "key", "left").select(F.col("key").alias(key), F.coalesce("fingerprint", F.lit("0" * (8 * samples))).alias("fingerprint"))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text")).repartition(FINER * partitions(docs), "key")
+    prints = least_values(texts.select("key", F.lit(0).alias("side"), "text"), samples).select("key", fingerprint(samples).alias("fingerprint"))
+    return rows.select("id", "key").join(prints, "key", "left").select(F.col("id").alias(key), F.lower(F.hex(F.coalesce("fingerprint", no_words(samples)))).alias("fingerprint"))
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited form, and likenesses.
 
     The edited text has its last half replaced by the start of the next text
-    (descending key).  Rows with a null key are left out, as they have no
-    place in the order; of rows with one key the least text counts, once.
-    A text's only next text, in a table of one row, is itself.
+    (descending key).  Null texts count as empty.  Rows with a null key are
+    left out, as they have no place in the order; of rows with one key that
+    with the least hash of its text counts, once.  A text's only next text, in
+    a table of one row, is itself.  Other columns are left out.
     """
     require(docs, key, text)
     prepare(docs.sparkSession)
     n = FINER * partitions(docs)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.col("key").isNotNull())
-    sizes = rows.select("key", F.length("text").cast("long").alias("n_chars"))
-    repeated = sizes.groupBy("key").agg(F.min("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("rows"))
-    links = following(cut(repeated))
-    placed = rows.repartition(n, "key").groupBy("key").agg(F.min("text").alias("text"))
+    digest = F.xxhash64("text")
+    sizes = rows.select("key", F.struct(digest.alias("digest"), F.length("text").cast("long").alias("n_chars")).alias("of")).groupBy("key").agg(F.min("of").alias("of"))
+    links = following(cut(sizes.select("key", "of.n_chars")))
+    placed = rows.repartition(n, "key").groupBy("key").agg(F.min_by("text", digest).alias("text"))
     placed = placed.join(links.hint("shuffle_hash"), "key").withColumn("n_chars", F.length("text").cast("long"))
     # the start of each text goes to the text before it, no more of it than is used
     starts = placed.select(F.col("previous_key").alias("key"), F.expr("substring(text, 1, cast(previous_size div 2 as int))").alias("start"))
     both = placed.join(starts, "key").select(
-        "key", "next_key", "n_chars", "text",
+        "key", "previous_key", "n_chars", "text",
         F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(start, 1, cast(n_chars div 2 as int)))").alias("edited"),
     )
     sides = both.select(
@@ -141,14 +153,15 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     prints = least_values(sides, samples).groupBy("key").agg(
         F.max(F.when(F.col("side") == 0, fingerprint(samples))).alias("own"), F.max(F.when(F.col("side") == 1, fingerprint(samples))).alias("other")
     )
-    none = F.lit("0" * (8 * samples))
+    none = no_words(samples)
     table = cut(
-        both.select("key", "next_key", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
+        both.select("key", "previous_key", "n_chars", F.unhex(F.sha2(F.col("edited"), 256)).alias("sha"))
         .join(prints, "key", "left")
-        .select("key", "next_key", "n_chars", "edited_sha256", F.coalesce("own", none).alias("fingerprint"), F.coalesce("other", none).alias("edited_fingerprint"))
+        .select("key", "previous_key", "n_chars", "sha", F.coalesce("own", none).alias("own"), F.coalesce("other", none).alias("other"))
     )
-    after = table.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
-    return table.join(after, "next_key").select(
-        F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"),
+    after = table.select(F.col("previous_key").alias("key"), F.col("own").alias("next"))
+    return table.join(after, "key").select(
+        F.col("key").alias(key), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+        F.lower(F.hex("own")).alias("fingerprint"), F.lower(F.hex("other")).alias("edited_fingerprint"),
+        likeness("own", "other", samples).alias("near_edited"), likeness("own", "next", samples).alias("near_next"),
     )

@@ -3,13 +3,15 @@
 The tokens of all templates and phrases make one suffix automaton.  Texts are
 streamed through it: after each word the state and length give the longest
 suffix of the text that stands in some template (matching statistics).
-Phrases are read off the states; matches of ``MIN_MATCH`` words or more are
-chained, in the order of one template, into spans that cover part of it.
+Phrases and templates of a few words are read off the states; matches of
+``MIN_MATCH`` words or more are chained, in the order of one template, into
+spans that cover part of it.  Of spans that lie in one another only the best
+stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,40 @@ MIN_MATCH = 5
 #: Words that a chain may leave out, in the text or in the template.
 MAX_GAP = 24
 #: Share of a template's words that a span must cover to give its label.
-MIN_COVER = 0.5
+MIN_COVER = 0.7
+#: Score of a text that names a licence but has no notice.
+NAMED = 0.5
 
-# Phrases with their labels, and short public licence notices.
+# Phrases with their labels, how notices of one line open, the
+# names they go on with, and public licence notices.
 PHRASES = {
     "gnu general public license": "gpl",
     "apache license": "apache",
     "cc by": "cc-by",
     "mit license": "mit",
 }
-TEMPLATES = {
+OPENINGS = ("licensed under", "released under", "distributed under", "published under", "available under", "provided under the terms of", "this work is licensed under")
+NAMES = {
+    "mit": ("the MIT License",),
+    "apache": ("the Apache License",),
+    "apache-2.0": ("the Apache License, Version 2.0",),
+    "gpl": ("the GNU General Public License",),
+    "gpl-2.0": ("the GNU General Public License, version 2",),
+    "gpl-3.0": ("the GNU General Public License, version 3",),
+    "lgpl": ("the GNU Lesser General Public License",),
+    "agpl": ("the GNU Affero General Public License",),
+    "mpl-2.0": ("the Mozilla Public License, version 2.0",),
+    "bsd": ("the BSD License", "the BSD 2-Clause License", "the BSD 3-Clause License"),
+    "isc": ("the ISC License",),
+    "cc-by": ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    "cc-by-sa": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc-by-nc": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-nd": ("CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa": ("CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "cc-by-nc-nd": ("CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+}
+IDENTIFIERS = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")
+NOTICES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "apache": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
@@ -41,8 +67,15 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
-    "all-rights-reserved": "Copyright notice: all rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",
+    "all-rights-reserved": "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",
 }
+#: (label, notice): whole notices, those of one line, and lines with an identifier.
+TEMPLATES = [
+    *NOTICES.items(),
+    ("all-rights-reserved", "All rights reserved"),
+    *((label, f"{opening} {name}") for label, names in NAMES.items() for name in names for opening in OPENINGS),
+    *((name.lower(), f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
+]
 
 
 def words(text: str) -> tuple[K.Block, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,12 +143,12 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str], min_match: int, max_gap: int, min_cover: float):
-        self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
-        self.names = list(templates)
+    def __init__(self, phrases: Mapping[str, str], templates: Sequence[tuple[str, str]], min_match: int, max_gap: int):
+        self.min_match, self.max_gap = min_match, max_gap
+        self.names = [label for label, _ in templates]
         vocabulary: dict[int, int] = {}
         sequences = []
-        for text in [*templates.values(), *phrases]:
+        for text in [*(notice for _, notice in templates), *phrases]:
             block, b, e, _ = words(text)
             sequences.append([vocabulary.setdefault(h, len(vocabulary)) for h in block.hashes(b, e).tolist()])
         self.sizes = [len(s) for s in sequences[: len(templates)]]
@@ -127,11 +160,13 @@ class Scanner:
         self.opens = np.zeros((v, v), bool)
         for s in sequences:
             self.pair[s[:-1], s[1:]] = True
-        for s in sequences[len(templates) :]:
+        # sequences that are looked for whole: phrases, and the shortest templates
+        whole = [(s, number, None) for number, s in enumerate(sequences[: len(templates)]) if len(s) < min_match]
+        whole += [(s, None, label) for label, s in zip(phrases.values(), sequences[len(templates) :], strict=True)]
+        # what of them ends at each state, and the least match length for it
+        self.hits: list[list[tuple[int | None, str | None, int, int]]] = [[] for _ in a.next]
+        for s, number, label in whole:
             self.opens[s[0], s[1] if len(s) > 1 else slice(None)] = True
-        # what phrases end at each state, and the least match length for it
-        self.hits: list[list[tuple[str, int, int]]] = [[] for _ in a.next]
-        for label, s in zip(phrases.values(), sequences[len(templates) :], strict=True):
             state = 0
             for token in s:
                 state = a.next[state][token]
@@ -140,7 +175,7 @@ class Scanner:
                 while up > 0 and up != state:
                     up = a.link[up]
                 if up == state:
-                    self.hits[t].append((label, len(s), len(s) if t == state else 0))
+                    self.hits[t].append((number, label, len(s), len(s) if t == state else 0))
 
     def scan(self, block: K.Block) -> list[dict]:
         """For each text: n_words, places (label, start) and spans."""
@@ -170,32 +205,46 @@ class Scanner:
             before = state, length
             state, length = step(state, length, token)
             if before[1] >= self.min_match and length <= before[1]:
-                row["spans"].append((start + i - before[1], start + i, before[0]))
-            for label, size, least in self.hits[state]:
-                if length >= least:
+                self._match(row, start + i - before[1], start + i, before[0])
+            for number, label, size, least in self.hits[state]:
+                if length >= least and number is None:
                     row["places"].append((label, start + i + 1 - size))
+                elif length >= least:
+                    row["spans"].append((start + i + 1 - size, start + i + 1, number, 0))
         if length >= self.min_match:
-            row["spans"].append((start + len(tokens) - length, start + len(tokens), state))
+            self._match(row, start + len(tokens) - length, start + len(tokens), state)
+
+    def _match(self, row: dict, a: int, b: int, state: int) -> None:
+        row["spans"] += [(a, b, number, end + 1 - (b - a)) for number, end in self.automaton.ends[state].items() if number < len(self.sizes)]
+
+    def _chain(self, matches: list[tuple[int, int, int, int]]) -> list[dict]:
+        """Spans of chained matches: label, start, end (words), coverage.
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> list[dict]:
-        """Spans of chained matches: label, start, end (words), coverage."""
+        A match (words a to b of the text, a template and its word ``begin``)
+        goes on the chain of its template that covers most, of equals the one
+        that began first.
+        """
         done, live = [], []
-        for a, b, state in matches:
-            for number, end in self.automaton.ends[state].items():
-                if number >= len(self.sizes):
-                    continue
-                begin = end + 1 - (b - a)
-                best = None
-                for c in live:
-                    if c["number"] == number and 0 <= a - c["end"] <= self.max_gap and 0 <= begin - c["to"] <= self.max_gap and (best is None or c["covered"] > best["covered"]):
-                        best = c
-                if best is None:
-                    live.append({"number": number, "start": a, "end": b, "to": end + 1, "covered": b - a})
-                else:
-                    best |= {"end": b, "to": end + 1, "covered": best["covered"] + b - a}
+        for a, b, number, begin in sorted(matches):
             done += [c for c in live if a - c["end"] > self.max_gap]
             live = [c for c in live if a - c["end"] <= self.max_gap]
-        return sorted(({"label": self.names[c["number"]], "start": c["start"], "end": c["end"], "coverage": round(c["covered"] / self.sizes[c["number"]], 6)} for c in done + live), key=lambda c: (c["start"], c["end"], c["label"]))
+            fits = [c for c in live if c["number"] == number and c["end"] <= a and 0 <= begin - c["to"] <= self.max_gap]
+            if fits:
+                max(fits, key=lambda c: c["covered"]).update(end=b, to=begin + b - a)
+                max(fits, key=lambda c: c["covered"])["covered"] += b - a
+            else:
+                live.append({"number": number, "start": a, "end": b, "to": begin + b - a, "covered": b - a})
+        spans = done + live
+        for c in spans:
+            c["worth"] = c["covered"], c["covered"] / self.sizes[c["number"]]
+        spans.sort(key=lambda c: (c["start"], -c["end"], -c["worth"][0], -c["worth"][1], self.names[c["number"]]))
+        out, around = [], []
+        for c in spans:
+            around = [o for o in around if o["end"] > c["start"]]
+            if not any(o["end"] >= c["end"] and o["worth"] > c["worth"] for o in around):
+                around.append(c)
+                out.append({"label": self.names[c["number"]], "start": c["start"], "end": c["end"], "coverage": round(c["worth"][1], 6)})
+        return out
 
 
 SCHEMA = "doc_id long, n_words long, places array<struct<label: string, start: long>>, spans array<struct<label: string, start: long, end: long, coverage: double>>"
@@ -209,16 +258,19 @@ _ARROW = pa.schema(
 )
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> DataFrame:
+def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text", min_match: int = MIN_MATCH, max_gap: int = MAX_GAP) -> DataFrame:
     """doc_id, n_words, places of phrases and spans of templates, per row.
 
     Positions count words from 0.  Null texts count as empty and have no
-    words; a repeated row is scanned again.
+    words; a repeated row is scanned again; other columns are left out.  A
+    span that lies in one of another template that covers more words (of
+    equally many, a greater share) is left out; equals stay.  A part that a
+    template has twice counts where it stands first.
     """
     require(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates, min_match, max_gap, min_cover)
+        scanner = Scanner(phrases, templates, min_match, max_gap)
         for batch in batches:
             rows = [row for block in K.blocks(batch.column(1)) for row in scanner.scan(block)]
             ids = batch.column(0).to_pylist()
@@ -228,7 +280,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
 
 def summary(scanned: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
-    """Counts, first and last place, labels and a score of each scanned row."""
+    """Counts, first and last place, labels and a score of each scanned row.
+
+    The score is the greatest coverage of a template, and ``NAMED`` at least
+    where a phrase stands.
+    """
     starts = F.col("places.start")
     base = F.array_sort(F.array_distinct(F.col("places.label")))
     covering = F.filter("spans", lambda s: s["coverage"] >= min_cover)
@@ -241,5 +297,5 @@ def summary(scanned: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.col("places.label"), F.transform(covering, lambda s: s["label"])))), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.least(best, F.lit(1.0))).alias("score"),
+        F.greatest(best, F.when(F.size("places") > 0, NAMED).otherwise(0.0)).alias("score"),
     )

@@ -4,7 +4,8 @@ The most probable segmentation is found by Viterbi over the pieces' log
 scores; the pieces lie in a double-array trie.  A character that no piece
 covers costs ``UNKNOWN_COST`` more than the worst piece and becomes byte
 pieces.  A marker (written as the space byte inside the trie) stands for a
-space, and one is put before each text.  As no piece has a marker after
+space, and one is put before each text.  A BPE model has no log scores but
+merge ranks: its k-th piece gets the log of a Zipf share, -ln(k H).  As no piece has a marker after
 another character, the text falls into units (spaces and the word after
 them) that are segmented alone; equal units are segmented once.
 """
@@ -118,12 +119,24 @@ class Unigram:
         self.at = np.cumsum(self.size) - self.size
 
     @classmethod
-    def load(cls, path: str) -> Unigram:
-        """Pieces and scores of a SentencePiece model file."""
+    def load(cls, path: str, ranks: bool | None = None) -> Unigram:
+        """Pieces and scores of a SentencePiece model file.
+
+        ``ranks`` says that the scores are merge ranks, not log scores; if it
+        is None they are if they are all whole numbers.
+        """
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        return cls([(m.id_to_piece(i), m.get_score(i), "byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal") for i in range(m.get_piece_size())])
+        pieces = cls._pieces(m)
+        if ranks is None:
+            ranks = all(s == int(s) for _, s, kind in pieces if kind == "normal")
+        return cls(zipf(pieces) if ranks else pieces)
+
+    @staticmethod
+    def _pieces(m) -> list[tuple[str, float, str]]:
+        return [(m.id_to_piece(i), m.get_score(i), "byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal") for i in range(m.get_piece_size())]
+
 
     def segment(self, units: list[bytes]) -> list[np.ndarray]:
         """Ids of the best segmentation of each unit; of equally good ones,
@@ -237,6 +250,17 @@ class Unigram:
         return encode_block(Pool(self.flat), next(K.blocks(pa.array([text]))))[0].tolist()
 
 
+def zipf(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """Pieces whose log scores follow from the order of their scores (equal
+    ones in order of id): the k-th of n has probability 1 / (k H(n))."""
+    order = sorted((i for i, p in enumerate(pieces) if p[2] == "normal"), key=lambda i: (-pieces[i][1], i))
+    whole = float(np.sum(1 / np.arange(1, len(order) + 1)))
+    out = list(pieces)
+    for k, i in enumerate(order, 1):
+        out[i] = pieces[i][0], -float(np.log(k * whole)), "normal"
+    return out
+
+
 def encode_block(pool: Pool, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each text has."""
     filled = np.flatnonzero(np.diff(block.starts) > 0)
@@ -285,7 +309,11 @@ def decode(encoded: DataFrame, model: Unigram) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every whole text: doc_id, n_ids, n_byte_ids,
-    log_score, ids_crc32, decoded_sha256, exact (decoding gave the text)."""
+    log_score, ids_crc32, decoded_sha256, exact (decoding gave the text).
+
+    A null text counts as empty and has no ids; repeated rows are encoded
+    each; other columns are left out.  Byte pieces count nothing in log_score.
+    """
     import hashlib
     import zlib
 

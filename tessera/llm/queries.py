@@ -27,7 +27,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host-level quality rules over every whole text of documents."""
     prepare(spark)
     return rules.host_rules(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "host_rate", "kept"
     )
 
 
@@ -83,8 +83,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-#: The copy that is audited: of every 61st page the first character is lost.
-OP8_REPLICA = "CASE WHEN page_id % 61 = 0 THEN concat('?', substring(payload, 2)) ELSE payload END"
+#: The copy that is audited: of every 61st page the first character is
+#: overwritten, and every 89th is longer or shorter.
+OP8_REPLICA = """CASE WHEN page_id % 61 = 0 THEN concat('?', substring(payload, 2))
+  WHEN page_id % 178 = 0 THEN concat(payload, '+') WHEN page_id % 89 = 0 THEN substring(payload, 12) ELSE payload END"""
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +98,8 @@ def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS ours,
-    CASE WHEN page_id % 61 = 0 THEN coalesce('?' || substring(html, 2), '') ELSE coalesce(html, '') END AS theirs
+    coalesce(CASE WHEN page_id % 61 = 0 THEN '?' || substring(html, 2)
+      WHEN page_id % 178 = 0 THEN html || '+' WHEN page_id % 89 = 0 THEN substring(html, 12) ELSE html END, '') AS theirs
   FROM pages
 ),
 r AS (
@@ -140,23 +143,32 @@ win AS (
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM win) WHERE c >= 2),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 c AS (
   SELECT w.doc_id, w.source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(dups.lines, 0) AS n_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dups ON w.doc_id = dups.doc_id LEFT JOIN repeats ON w.doc_id = repeats.doc_id
 ),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS bad FROM b GROUP BY source),
+f AS (
+  SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines
+    OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS failed
+  FROM b
+),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS bad FROM f GROUP BY source),
 totals AS (SELECT sum(n) AS total, sum(bad) / sum(n) AS mean, sum(bad * bad / n) AS square FROM hosts),
 prior AS (
   SELECT mean, greatest(1.0::DOUBLE, mean * (1 - mean) / greatest(square / total - mean * mean, 1e-6::DOUBLE) - 1) AS weight FROM totals
 ),
-rates AS (SELECT source, round((bad + mean * weight) / (n + weight), 9) AS host_rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate,
-  NOT base_failed AND host_rate <= 0.5 AS kept
-FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
+rates AS (
+  SELECT source, round((bad + mean * weight) / (n + weight), 9) AS host_rate,
+    mean + 3 * sqrt(mean * (1 - mean) / (weight + 1)) AS high
+  FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed, host_rate,
+  NOT base_failed AND NOT (host_rate > 0.5 OR (host_rate > high AND host_rate > 0.25)) AS kept
+FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source
 """
 
 

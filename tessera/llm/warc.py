@@ -5,10 +5,17 @@ In each copy of the archive, records are hashed, ranges of ``RANGE`` bytes
 hash their records in order of offset, and each higher level hashes ``FAN_OUT``
 ranges.  Two copies are compared from the roots down: only children of nodes
 that differ are looked at.
+
+Ranges are those of the first copy's manifest.  A record of the other copy
+has the offset that the manifest gives for its id (and its place among records
+with that id), so a record that changed its length doesn't move those after
+it.  Records that the manifest doesn't have come after its file's end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,46 +51,69 @@ def manifest(records: DataFrame) -> DataFrame:
     return entries.withColumn("offset", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(w), F.lit(0)).cast("long"))
 
 
-def tree(entries: DataFrame, levels: int = LEVELS, range_bytes: int = RANGE, fan_out: int = FAN_OUT) -> list[DataFrame]:
-    """file, node, hash of each level, the lowest first.
+def leaves(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """file, at, side (0: ours), record_id and hash of all records of both."""
+    place = Window.partitionBy("file", "record_id").orderBy("digest", "length")
+    entry = F.concat_ws(":", F.col("copies").cast("string"), "digest").alias("hash")
+    a, b = (m.select("file", "record_id", "offset", F.row_number().over(place).alias("place"), (F.col("length") * F.col("copies")).alias("bytes"), entry) for m in (ours, theirs))
+    # the manifest: where records lie, not what is in them
+    index = a.select(F.col("file").alias("of"), F.col("record_id").alias("of_id"), F.col("place").alias("of_place"), F.col("offset").alias("at"))
+    found = b.join(index, (F.col("file") == F.col("of")) & F.col("record_id").eqNullSafe(F.col("of_id")) & (F.col("place") == F.col("of_place")), "left")
+    ends = ours.groupBy(F.col("file").alias("of")).agg(F.max(F.col("offset") + F.col("length") * F.col("copies")).alias("end"))
+    before = Window.partitionBy("file").orderBy("record_id", "place").rowsBetween(Window.unboundedPreceding, -1)
+    extra = found.where("at IS NULL").drop("of").join(ends, F.col("file") == F.col("of"), "left").withColumn("at", F.coalesce("end", F.lit(0)) + F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    sides = ((0, a.withColumnRenamed("offset", "at")), (1, found.where("at IS NOT NULL")), (1, extra))
+    return reduce(DataFrame.unionByName, (x.select("file", F.col("at").cast("long"), F.lit(side).alias("side"), "record_id", "hash") for side, x in sides))
+
+
+def tree(both: DataFrame, levels: int = LEVELS, range_bytes: int = RANGE, fan_out: int = FAN_OUT) -> list[DataFrame]:
+    """file, node, ours, theirs (hashes) of each level, the lowest first.
 
     A node gathers the records of ``range_bytes`` or ``fan_out`` children, so
-    its list is bounded.
+    its lists are bounded.  Each level is written once, from the one below.
     """
-    below = entries.select("file", F.expr(f"`offset` div {range_bytes}").alias("node"), F.col("offset").alias("at"), F.concat_ws(":", F.col("offset").cast("string"), F.col("copies").cast("string"), "digest").alias("hash"))
-    out = []
-    for _ in range(levels + 1):
-        level = below.groupBy("file", "node").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]), "\n"), 256).alias("hash"))
-        out.append(level)
-        below = level.select("file", F.expr(f"node div {fan_out}").alias("node"), F.col("node").alias("at"), "hash")
-    return out
-
 
-def differing(left: DataFrame, right: DataFrame, on: list[str], what: str, parents: DataFrame | None) -> DataFrame:
-    """``on`` and both sides' ``what`` where they differ, under ``parents``."""
-    if parents is not None:
-        left, right = (x.join(parents, on=parents.columns, how="left_semi") for x in (left, right))
-    joined = left.withColumnRenamed(what, "ours").join(right.withColumnRenamed(what, "theirs"), on, "full")
-    return joined.where(~F.col("ours").eqNullSafe(F.col("theirs")))
+    def hashed(at: str, column: Column) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(column.isNotNull(), F.struct(F.col(at).alias("at"), column.alias("hash")))))
+        return F.sha2(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["at"].cast("string"), x["hash"])), "\n"), 256)
+
+    node = F.expr(f"at div {range_bytes}").alias("node")
+    sides = (F.when(F.col("side") == side, F.col("hash")) for side in (0, 1))
+    out = [cut(both.groupBy("file", node).agg(*(hashed("at", c).alias(n) for n, c in zip(("ours", "theirs"), sides, strict=True))))]
+    for _ in range(levels):
+        below = out[-1].withColumnRenamed("node", "child")
+        parent = F.expr(f"child div {fan_out}").alias("node")
+        out.append(cut(below.groupBy("file", parent).agg(*(hashed("child", F.col(n)).alias(n) for n in ("ours", "theirs")))))
+    return out
 
 
 def audit(ours: DataFrame, theirs: DataFrame, levels: int = LEVELS, range_bytes: int = RANGE, fan_out: int = FAN_OUT) -> DataFrame:
-    """Damaged places: file, offset, ours and theirs (digests; null: missing).
+    """Damaged places: file, record_id, offset, ours and theirs (copies and
+    digest; null: missing).
 
-    Both are manifests.  Equal copies and empty ones give no rows.
+    Both are manifests.  Equal copies and empty ones give no rows.  Of records
+    with one id, those that both copies have aren't damaged, whatever happened
+    to the others.
     """
-    trees = tree(ours, levels, range_bytes, fan_out), tree(theirs, levels, range_bytes, fan_out)
+    both = cut(leaves(ours, theirs))
     bad = None
-    for depth in reversed(range(levels + 1)):
-        a, b = (t[depth] for t in trees)
+    for level in reversed(tree(both, levels, range_bytes, fan_out)):
         if bad is not None:
-            a, b = (x.withColumn("parent", F.expr(f"node div {fan_out}")) for x in (a, b))
-            bad = differing(a, b, ["file", "parent", "node"], "hash", bad.select("file", F.col("node").alias("parent")))
-        else:
-            bad = differing(a, b, ["file", "node"], "hash", None)
-    a, b = (m.select("file", F.expr(f"`offset` div {range_bytes}").alias("node"), "offset", F.concat_ws(":", F.col("copies").cast("string"), "digest").alias("entry")) for m in (ours, theirs))
-    found = differing(a, b, ["file", "node", "offset"], "entry", bad.select("file", "node"))
-    return found.select("file", "offset", "ours", "theirs")
+            level = level.join(bad, (level["file"] == bad["bad_file"]) & (F.expr(f"node div {fan_out}") == bad["bad_node"]), "left_semi")
+        bad = cut(level.where("ours <> theirs").select(F.col("file").alias("bad_file"), F.col("node").alias("bad_node")))
+    under = both.join(bad, (F.col("file") == F.col("bad_file")) & (F.expr(f"at div {range_bytes}") == F.col("bad_node")), "left_semi")
+    one = under.groupBy("file", "at").agg(F.first("record_id", ignorenulls=True).alias("record_id"), *(F.max(F.when(F.col("side") == side, F.col("hash"))).alias(name) for side, name in ((0, "ours"), (1, "theirs"))))
+    found = cut(one.where(~F.col("ours").eqNullSafe(F.col("theirs"))))
+
+    def lost(name: str, other: str) -> DataFrame:
+        mine = found.where(F.col(name).isNotNull()).select("file", "at", "record_id", name)
+        there = found.where(F.col(other).isNotNull()).select(F.col("record_id").alias("id"), F.col(other).alias("entry"))
+        return mine.join(there, F.col("record_id").eqNullSafe(F.col("id")) & (F.col(name) == F.col("entry")), "left_anti")
+
+    left, right = lost("ours", "theirs"), lost("theirs", "ours").select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("record_id").alias("r"), "theirs")
+    return left.join(right, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")), "full").select(
+        F.coalesce("file", "f").alias("file"), F.coalesce("record_id", "r").alias("record_id"), F.coalesce("at", "a").alias("offset"), "ours", "theirs"
+    )
 
 
 def audit_pages(pages: DataFrame, replica: Column, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -91,7 +121,9 @@ def audit_pages(pages: DataFrame, replica: Column, key: str = "page_id", url: st
 
     Per entry of the archive: page_id, file, offset, length, copies, digest
     and status (ok, or damaged).  ``replica`` is an expression over columns
-    page_id, url and payload.
+    page_id, url and payload.  Nulls count as empty, payloads are hashed whole
+    however long, exactly repeated rows are one entry with their number, and
+    other columns are left out, so they can't clash.
     """
     require(pages, key, url, payload)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload"))
@@ -100,7 +132,7 @@ def audit_pages(pages: DataFrame, replica: Column, key: str = "page_id", url: st
     hashed = cut(hashed)
     mine = cut(manifest(hashed.select(F.col("page_id").alias("record_id"), "length", "digest")))
     other = cut(manifest(hashed.select(F.col("page_id").alias("record_id"), F.col("their_length").alias("length"), F.col("their_digest").alias("digest"))))
-    bad = audit(mine, other).select(F.col("file").alias("bad_file"), F.col("offset").alias("bad_offset"))
+    bad = audit(mine, other).where("ours IS NOT NULL").select(F.col("file").alias("bad_file"), F.col("offset").alias("bad_offset"))
     return mine.join(bad, (F.col("file") == F.col("bad_file")) & (F.col("offset") == F.col("bad_offset")), "left").select(
         F.col("record_id").alias("page_id"), "file", "offset", "length", "copies", "digest", F.when(F.col("bad_file").isNull(), "ok").otherwise("damaged").alias("status")
     )

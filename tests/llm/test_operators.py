@@ -124,10 +124,55 @@ def test_jaccard_edges(spark, edges):
     assert jaccard.jaccard_join(none).collect() == [] and jaccard.one_of_each(none).collect() == []
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "k l m n o p q"), (9, "K l m n o p q"), (9, "K l m n o p q"), (None, "only here and nowhere else"), (None, "only here and nowhere else"), (3, ""), (3, None), (7, "copied row as it is"), (7, "copied row as it is")]
+    kept = jaccard.one_of_each(docs_of(spark, *rows))
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == {(1, rows[0][1]): 1, (5, rows[2][1]): 1, (None, rows[5][1]): 1, (3, ""): 1, (3, None): 1, (7, rows[9][1]): 1}
+    assert kept.columns == docs_of(spark, *rows).columns
+
+
+def test_merged_keys_link_the_same_sets():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        keys, owners = rng.integers(0, 12, 40).astype(np.uint64), rng.integers(0, 15, 40)
+        found = []
+        for k, o in ((keys, owners), jaccard.merged(keys, owners)):
+            of = collections.defaultdict(list)
+            for a, b in zip(k.tolist(), o.tolist(), strict=True):
+                of[a].append(b)
+            found.append({frozenset(x) for x in _groups(of.values()) if len(x) > 1})
+        assert found[0] == found[1]
+        assert collections.Counter(jaccard.merged(keys, owners)[0].tolist()).most_common(1)[0][1] <= 2
+
+
+def _groups(lists):
+    out = []
+    for x in lists:
+        x = set(x)
+        out, apart = [], [g for g in out if not g & x] if (joined := [g for g in out if g & x]) else list(out)
+        out = [*apart, x.union(*joined)]
+    return out
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    none = spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")
+    assert components.components(none).collect() == []
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(1) or cut(df))
+    rng = np.random.default_rng(14)
+    ids = rng.permutation(10**6)[:600].tolist()
+    links = [*zip(ids[:400], ids[1:401], strict=False), *((ids[500], x) for x in ids[501:600])]  # a path and a star
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(ids[:401]) for x in ids[:401]} | {x: min(ids[500:]) for x in ids[500:]}
+    assert len(rounds) <= 20
 
 
 def plain_repeats(rows, w):
@@ -295,6 +340,45 @@ def test_unigram_viterbi():
         unigram.Unigram([("a▁b", -1.0, "normal")])
 
 
+def model_file(pieces):
+    """A SentencePiece unigram model, written field by field."""
+
+    def field(number, kind, payload):
+        return varint(number << 3 | kind) + (varint(len(payload)) + payload if kind == 2 else payload)
+
+    def varint(x):
+        return bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+
+    kinds = {"normal": 1, "unknown": 2, "control": 3, "byte": 6}
+    out = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, varint(kinds[k]))) for p, s, k in pieces)
+    out += field(2, 2, field(3, 0, varint(1)) + field(35, 0, varint(1)))
+    return out + field(3, 2, field(1, 2, b"identity") + field(3, 0, varint(1)) + field(4, 0, varint(0)) + field(5, 0, varint(1)))
+
+
+def test_unigram_agrees_with_sentencepiece(tmp_path):
+    import sentencepiece
+
+    rng = np.random.default_rng(13)
+    names = {"".join(x) for n in (1, 2, 3, 4) for x in rng.choice(list("abcdé"), (30, n))}
+    names = sorted({p for n in names for p in (n, "▁" + n)} | {"▁"})
+    scores = np.float32(-rng.uniform(1, 12, len(names)))
+    pieces = [("<unk>", 0.0, "unknown"), ("<s>", 0.0, "control"), ("</s>", 0.0, "control"), *((f"<0x{i:02X}>", 0.0, "byte") for i in range(256)), *((p, float(s), "normal") for p, s in zip(names, scores, strict=True))]
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model_file(pieces))
+    theirs, ours = sentencepiece.SentencePieceProcessor(model_file=str(path)), unigram.Unigram.load(str(path))
+    assert theirs.get_piece_size() == len(pieces) and np.allclose(ours.score[259:], scores)
+    for _ in range(400):
+        text = "".join(rng.choice(list("abcdé  z€"), int(rng.integers(1, 30))))
+        assert ours.encode(text) == theirs.encode(text), text
+
+
+def test_unigram_scores_of_a_bpe_model_are_log_shares(model):
+    normal = np.array([s for s in model.score if s < 0])
+    assert np.exp(normal).sum() == pytest.approx(1.0) and len(set(normal.tolist())) == len(normal)
+    # a common short piece twice is worth more than a rare long one
+    assert unigram.zipf([("a", -1.0, "normal"), ("b", 0.0, "normal"), ("c", 0.0, "byte")]) == [("a", -float(np.log(3.0)), "normal"), ("b", -float(np.log(1.5)), "normal"), ("c", 0.0, "byte")]
+
+
 def test_double_array():
     keys = [b"a", b"ab", b"abc", b"b", b"\xff\x00", b"ca"]
     trie = unigram.DoubleArray(keys, list(range(6)))
@@ -310,25 +394,58 @@ def test_double_array():
     assert [find(k) for k in keys] == list(range(6)) and [find(w) for w in (b"c", b"abd", b"z")] == [-1, -1, -1]
 
 
-def test_fingerprints(spark, edges):
-    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(edges.where("doc_id IS NOT NULL")).collect()}
-    assert got[1] == got[4] != got[8] and got[2] == got[3] == got[6] and len(got) == len(EDGES) - 1
-    rows = sorted(((i, t or "") for i, t in EDGES if i is not None), reverse=True)
-    pairs = {r.doc_id: r for r in fingerprints.compare_edited(edges).collect()}
-    assert len(pairs) == len(rows)
+def shared_samples(a, b):
+    return np.mean([a[8 * k : 8 * k + 8] == b[8 * k : 8 * k + 8] for k in range(fingerprints.SAMPLES)])
+
+
+def check_edited(spark, docs, chosen):
+    """compare_edited against texts edited here, fingerprinted one by one."""
+    got = {r.doc_id: r for r in fingerprints.compare_edited(docs).collect()}
+    rows = sorted(chosen.items(), reverse=True)
+    assert set(got) == set(chosen)
+    edited = {}
+    for k, (i, t) in enumerate(rows):
+        following, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        edited[i] = t[: len(t) - half] + following[:half]
+    texts = list(chosen.items()) + [(i + 10**6, t) for i, t in edited.items()]
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs_of(spark, *texts)).collect()}
     for k, (i, t) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1]
-        half = len(t) // 2
-        edited = t[: len(t) - half] + following[:half]
-        assert pairs[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and pairs[i].n_chars == len(t)
-        assert pairs[i].fingerprint == got[i]
-    repeated = fingerprints.compare_edited(edges.unionAll(edges)).collect()
-    assert {r.doc_id: r.edited_fingerprint for r in repeated} == {i: r.edited_fingerprint for i, r in pairs.items()}
+        r, after = got[i], rows[(k + 1) % len(rows)][0]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited[i].encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (prints[i], prints[i + 10**6])
+        assert (r.near_edited, r.near_next) == (shared_samples(prints[i], prints[i + 10**6]), shared_samples(prints[i], prints[after]))
+    return got, edited
+
+
+def test_fingerprints(spark, edges):
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(edges).collect()}
+    assert got[1] == got[4] != got[8] and got[2] == got[3] == got[6] and len(got) == len(EDGES)
+    assert got[None] not in (got[2], got[1])
+    twice = fingerprints.fingerprints(edges.unionAll(edges)).collect()
+    assert len(twice) == 2 * len(EDGES) and all(r.fingerprint == got[r.doc_id] for r in twice)
+    check_edited(spark, edges, {i: t or "" for i, t in EDGES if i is not None})
+    check_edited(spark, edges.unionAll(edges), {i: t or "" for i, t in EDGES if i is not None})
     assert fingerprints.compare_edited(edges.where("false")).collect() == []
     one = fingerprints.compare_edited(edges.where("doc_id = 1")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_of_a_repeated_key_use_one_text(spark):
+    docs = docs_of(spark, (5, "b"), (5, "aaaaaaaa"), (3, "z" * 10))
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    check_edited(spark, docs, {5: min(("b", "aaaaaaaa"), key=hashed.get), 3: "z" * 10})
+
+
+def test_fingerprints_of_whole_tables(spark, small):
+    chosen = {r.doc_id: r.text or "" for r in small.collect()}
+    got, edited = check_edited(spark, small, chosen)
+    errors = []
+    for i, r in got.items():
+        x, y = collections.Counter(WORD.findall(chosen[i])), collections.Counter(WORD.findall(edited[i]))
+        errors.append(r.near_edited - (sum((x & y).values()) / max(sum((x | y).values()), 1) if x or y else 1.0))
+    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.08
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     rng = np.random.default_rng(8)
     texts = []
@@ -353,14 +470,102 @@ def test_fingerprints_use_no_python(spark, small):
 
 
 def test_licences(spark, edges):
-    notice = licences.TEMPLATES["mit"]
-    rows = [(1, "x " * 5 + notice + " y"), (2, "Apache  License, the MIT-license! CC BY; GNU General Public\nLicense apache license"), (3, notice[: len(notice) // 6]), (4, None), (5, "cc0 by mit licenses gnu general public"), (6, notice.replace("copies of", "extra words here"))]
+    notice = licences.NOTICES["mit"]
+    rows = [
+        (1, "x " * 5 + notice + " y"), (2, "Apache  License, the MIT-license! CC BY; GNU General Public\nLicense apache license"), (3, notice[: len(notice) // 6]), (4, None),
+        (5, "cc0 by mit licenses gnu general public"), (6, notice.replace("copies of", "extra words here")), (7, "all rights. reserved all"),
+        (8, "x This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0"), (9, "released under the apache license v2"), (10, "// SPDX-License-Identifier: GPL-3.0"),
+    ]
     got = {r.doc_id: r for r in licences.summary(licences.scan(docs_of(spark, *rows))).collect()}
     assert got[1].labels == "mit" and got[1].n_base == 0 and got[1].first_word is None and got[1].score == 1.0
-    assert got[2].base_labels == got[2].labels == "apache,cc-by,gpl,mit" and (got[2].n_base, got[2].first_word, got[2].last_word) == (5, 0, 11)
+    assert got[2].base_labels == got[2].labels == "apache,cc-by,gpl,mit" and (got[2].n_base, got[2].first_word, got[2].last_word, got[2].score) == (5, 0, 11, licences.NAMED)
     assert got[3].labels == "" and 0 < got[3].score < 0.5 and got[4].n_words == 0 and got[5].n_base == 0
-    assert "mit" in got[6].labels
+    assert "mit" in got[6].labels and 0.7 < got[6].score < 1
+    assert got[7].labels == "all-rights-reserved" and got[7].n_base == 0
+    assert (got[8].base_labels, got[8].labels, got[8].score) == ("cc-by,gpl", "cc-by,cc-by-nc,gpl,gpl-3.0", 1.0)
+    assert got[9].labels == "apache" and got[10].labels == "gpl-3.0"
     assert licences.scan(edges).count() == len(EDGES) and licences.scan(edges.where("false")).collect() == []
+    assert licences.scan(edges.unionAll(edges)).count() == 2 * len(EDGES)
+
+
+LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text):
+    return LETTERS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def plain_scan(words, phrases, templates, min_match, max_gap):
+    """Places and spans by comparing word lists."""
+    places = sorted((label, a) for phrase, label in phrases.items() for a in range(len(words)) if words[a : a + len(p := plain_words(phrase))] == p)
+    matches = []
+    lists = [plain_words(t) for _, t in templates]
+    joined = [" " + " ".join(x) + " " for x in [*lists, *map(plain_words, phrases)]]
+    longest = []  # of the words before each place, the most that stand in a template
+    for i in range(len(words) + 1):
+        n = (longest[-1] + 1) if longest else 0
+        while n and not any(f" {' '.join(words[i - n : i])} " in x for x in joined):
+            n -= 1
+        longest.append(n)
+    for i, n in enumerate(longest):
+        if n >= min_match and (i == len(words) or longest[i + 1] <= n):
+            part = f" {' '.join(words[i - n : i])} "
+            for number, x in enumerate(joined[: len(lists)]):
+                if (at := x.find(part)) >= 0:
+                    matches.append((i - n, i, number, x[:at].count(" ")))
+    for number, x in enumerate(lists):
+        matches += [(a, a + len(x), number, 0) for a in range(len(words)) if len(x) < min_match and words[a : a + len(x)] == x]
+    chains = []
+    for a, b, number, begin in sorted(matches):
+        fits = [c for c in chains if c[0] == number and 0 <= a - c[2] <= max_gap and 0 <= begin - c[3] <= max_gap]
+        if fits:
+            c = max(fits, key=lambda c: c[4])
+            c[2:] = [b, begin + b - a, c[4] + b - a]
+        else:
+            chains.append([number, a, b, begin + b - a, b - a])
+    spans = [(c[1], c[2], templates[c[0]][0], (c[4], c[4] / len(lists[c[0]]))) for c in chains]
+    left = [x for x in spans if not any(o[0] <= x[0] and o[1] >= x[1] and o[3] > x[3] for o in spans)]
+    return places, sorted((a, b, label, round(worth[1], 6)) for a, b, label, worth in left)
+
+
+def found_in(row):
+    return sorted((p["label"], p["start"]) for p in row["places"]), sorted((x["start"], x["end"], x["label"], x["coverage"]) for x in row["spans"])
+
+
+def test_licences_match_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        letters = list("abcd")
+        templates = [(f"t{k}", " ".join(rng.choice(letters, int(rng.integers(2, 14))))) for k in range(4)]
+        phrases = {"a b": "ab", "c c d": "ccd"}
+        text = " ".join(rng.choice([*letters, "x"], 40, p=[0.23] * 4 + [0.08])) + " " + templates[0][1]
+        scanner = licences.Scanner(phrases, templates, 3, 4)
+        row = scanner.scan(next(K.blocks(pa.array([text]))))[0]
+        assert found_in(row) == plain_scan(plain_words(text), phrases, templates, 3, 4), (text, templates)
+
+
+def test_licences_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scanned = {r.doc_id: r for r in licences.scan(docs).collect()}
+    summed = {r.doc_id: r for r in licences.summary(licences.scan(docs)).collect()}
+    more = 0
+    for i, t in texts.items():
+        words = plain_words(t)
+        near = {k for k, w in enumerate(words) if w in ("license", "licensed", "by", "rights", "permission", "licence")}
+        if near:  # the words around those that every template or phrase has
+            places, spans = plain_scan(words, licences.PHRASES, licences.TEMPLATES, licences.MIN_MATCH, licences.MAX_GAP) if len(words) < 1500 else found_in(scanned[i])
+            assert found_in(scanned[i]) == (places, spans)
+        else:
+            places, spans = [], []
+            assert found_in(scanned[i])[0] == []
+        r = summed[i]
+        base = sorted({label for label, _ in places})
+        labels = sorted({*base, *(x[2] for x in spans if x[3] >= licences.MIN_COVER)}) if near else base
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(base))
+        assert r.labels == ",".join(labels) and r.first_word == min((a for _, a in places), default=None) and r.last_word == max((a for _, a in places), default=None)
+        more += r.labels != r.base_labels
+    assert more > 20
 
 
 def test_automaton_matches_brute_force():
@@ -387,6 +592,13 @@ def test_rules(spark, edges, small):
     assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     hosts = rules.passing(clean).select("source").distinct().collect()
     assert [r.source for r in hosts] == ["good"]
+    # symbols alone reject a host: none of its texts breaks a base rule
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + (" $" * 60 if i % 30 == 7 and i < 480 else ""), f"h{i % 30}") for i in range(1200)]
+    noisy = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rules.host_rules(noisy).collect()
+    assert {r.host for r in got if r.rejected} == {"h7"} and all(0.25 < r.host_rate <= 0.5 for r in got if r.rejected)
+    assert any(r.rejected and not r.base_failed and not r.failed for r in got)
+    assert {r.doc_id for r in rules.passing(noisy).collect()} == {r.doc_id for r in got if r.kept}
     assert rules.host_rules(edges.where("false")).collect() == [] and rules.passing(edges.where("false")).collect() == []
 
 
@@ -492,6 +704,28 @@ def test_warc(spark):
     assert same == 0 and warc.audit_pages(pages.where("false"), F.col("payload")).collect() == []
 
 
+def test_warc_finds_records_that_changed_their_length(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * (i % 700) + str(i), i) for i in range(1500)] + [(7, "again", x, 1) for x in ("a", "b", "c")], "page_id long, url string, html string, offset long")
+    change = "CASE WHEN page_id IN (3, 1200) THEN concat(payload, '!') WHEN page_id = 400 THEN '' WHEN url = 'again' AND payload = 'b' THEN 'zz' ELSE payload END"
+    got = warc.audit_pages(pages, F.expr(change)).collect()
+    assert len(got) == 1503
+    assert sorted((r.page_id, r.length) for r in got if r.status == "damaged") == sorted((r.page_id, r.length) for r in got if r.page_id in (3, 400, 1200) or r.page_id == 7 and r.digest == plain_digest(7, "again", "b"))
+    long = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "u", "y")], "page_id long, url string, html string")
+    assert [r.page_id for r in warc.audit_pages(long, F.expr("CASE WHEN page_id = 1 THEN concat('y', substring(payload, 2)) ELSE payload END")).where("status <> 'ok'").collect()] == [1]
+
+
+def plain_digest(key, url, body):
+    record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{key}>\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n"
+    return hashlib.sha256(record.encode()).hexdigest()
+
+
+def test_warc_plan_is_linear_in_levels(spark):
+    a = spark.createDataFrame([(i, 100, f"d{i}") for i in range(50)], "record_id long, length long, digest string")
+    ours, theirs = warc.manifest(a), warc.manifest(a.where("record_id <> 9"))
+    plans = [len(warc.audit(ours, theirs, levels=n)._jdf.queryExecution().toString()) for n in (1, 4)]
+    assert plans[0] == pytest.approx(plans[1], rel=0.05)
+
+
 def test_warc_finds_missing_and_extra_records(spark):
     a = spark.createDataFrame([(i, 100, f"d{i}") for i in range(50)], "record_id long, length long, digest string")
     b = a.where("record_id <> 49").unionAll(spark.createDataFrame([(1000, 5, "new")], a.schema))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
 import sys
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import Frame
 from ..session import fresh
+from .blocked import read_blocked
 
 
 def _cell(text: Column, kind: T.DataType, labels: Sequence[str] | None) -> Column:
@@ -51,15 +50,7 @@ def read_text(spark: SparkSession, path: str, schema: str | T.StructType, sep: s
     Lines are in the order of files, of blocks in a file, and in a block.
     """
     if path.endswith(".bgz"):
-        # Spark doesn't know the name; each file is unpacked in one task
-        def unpack(batches):
-            for pdf in batches:
-                for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                    lines = gzip.decompress(raw).decode().split("\n")
-                    lines = lines[:-1] if lines[-1] == "" else lines
-                    yield pd.DataFrame({"f": p, "at": 0, "n": range(len(lines)), "value": lines})
-
-        lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "f string, at long, n long, value string")
+        lines = read_blocked(spark, path)  # Spark doesn't know the name
     else:
         lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at")).withColumn("n", F.monotonically_increasing_id())
     if header:

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import zlib
 
 import pandas as pd
 import pytest
@@ -291,3 +292,99 @@ def test_status(spark):
     assert f.is_sorted_by("a") and f.is_sorted_by("a", desc("b")) and not f.is_sorted_by("b")
     assert f.sort("a") is f and not f.set(b=1).is_sorted_by("a", desc("b")) and f.set(b=1).is_sorted_by("a")
     assert not f.sort(desc("a")).is_sorted_by("a")
+
+
+def plan_of(f):
+    return f.to_spark()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_frame_vectors_take_no_single_task(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5, i / 8) for i in range(500)]
+    f = frame(spark, "i int, v int, x double", *rows).sort(desc("i"))
+    made = f.transform(c=Do.cumsum("v"), w=Do.cumsum_into("x", "double"))
+    assert "SinglePartition" not in plan_of(made)
+    total, want = 0, []
+    for _, v, _ in reversed(rows):
+        total += v or 0
+        want.append(None if v is None else total)
+    assert made.get("c") == want and made.get("w")[-1] == sum(x for *_, x in rows)
+    share = f.transform(q=Do.freq("v")).get("q")
+    assert sum(x for x in share if x is not None) == pytest.approx(1.0)
+    assert "Window" not in plan_of(f.transform(q=Do.freq("v"), n=Do.count("v")))
+    down = frame(spark, "s string, p int", *((f"s{i % 40:02}", i % 3) for i in range(300))).sort(desc("s"))
+    assert down.pivot(["s"], "p").columns == ("s", "0", "1", "2")
+
+
+def test_lookup_reads_the_index_by_range(spark):
+    x = read_parquet(spark, "/root/testdata/sf0.001/orders.parquet").index("o_custkey")
+    plan = plan_of(x.lookup(o_custkey=42).select("o_orderkey"))
+    assert "FileScan parquet" in plan and "EqualTo(o_custkey,42)" in plan and "ExistingRDD" not in plan
+
+
+def test_na_rm_vectors_and_sorted_groups(spark):
+    f = frame(spark, "k int, v int", (2, 1), (1, None), (2, 3), (None, 4))
+    assert f.apply(Do.na_rm("v")) == [1, 3, 4] and f.transform(w=Do.na_rm("v")).get("k") == [2, 2, None]
+    assert f.group("k", sort=True).do_vector(lambda i, k, r: [v for v in r["v"] if v == v], "double", "v").get("v") == [4.0, 1.0, 3.0]
+    assert f.sort(desc("k")).group().aggregate(n=Agg.count("v", na=0)).collect() == [(None, 1), (2, 2), (1, 0)]
+    assert f.group(sort=["k"]).aggregate(n=Agg.count("v", na=0)).collect() == [(None, 1), (1, 0), (2, 2)]
+    with pytest.raises(ValueError, match="sorted frame"):
+        f.group()
+    with pytest.raises(ValueError, match="before sort"):
+        f.query().sort("k").filter(na.gt("v", 1))
+    for twice in (lambda q: q.select("k").drop("v"), lambda q: q.group("k").group("v"), lambda q: q.sort("k").sort("v")):
+        with pytest.raises(ValueError, match="once"):
+            twice(f.query())
+    assert f.query().filter(na.is_some("v")).sort("k").drop("k").frame().collect() == [(4,), (1,), (3,)]
+    with pytest.raises(ValueError, match="takes an aggregate"):
+        f.query().group("k").frame()
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from tessera import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.shared_folder(Session)
+
+
+def blocked(data, size):
+    """BGZF: gzip members of ``size`` bytes of data with their size in the header."""
+    out = b""
+    for a in [*range(0, len(data), size), len(data)]:
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        part = data[a : a + size]
+        body = packer.compress(part) + packer.flush()
+        head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little")
+        out += head + body + zlib.crc32(part).to_bytes(4, "little") + len(part).to_bytes(4, "little")
+    return out
+
+
+def test_blocked_files_are_read_in_parts(spark, tmp_path):
+    rows = [(i, "é" * (i % 50) + f"x{i * 7919 % 1000}") for i in range(5000)]
+    data = ("i\ts\n" + "".join(f"{i}\t{s}\n" for i, s in rows)).encode()
+    path = str(tmp_path / "t.bgz")
+    packed = blocked(data, 700)
+    assert gzip.decompress(packed) == data
+    (tmp_path / "t.bgz").write_bytes(packed)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        f = read_text(spark, path, "i int, s string", header=True)
+        assert f.df.rdd.getNumPartitions() > 5 and f.collect() == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read_text(spark, path, "i int, s string", header=True).collect() == rows
+    # the mark by chance inside a block, one line over many parts, no line end
+    stored = zlib.compressobj(0, zlib.DEFLATED, -15)
+    inner = b"a\tBC\x02\x00" + b"z" * 90
+    body = stored.compress(inner) + stored.flush()
+    head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little")
+    (tmp_path / "u.bgz").write_bytes(head + body + zlib.crc32(inner).to_bytes(4, "little") + len(inner).to_bytes(4, "little"))
+    assert read_text(spark, str(tmp_path / "u.bgz"), "a string, b string").collect() == [("a", "BC\x02\x00" + "z" * 90)]

@@ -81,14 +81,18 @@ class Model:
     """idf, projection, labelled vectors and their labels; plain arrays."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int, neighbours: int):
+        """``counts`` is changed."""
         self.labels, self.neighbours = labels.astype(np.float32), neighbours
-        seen = (counts > 0).sum(0)
+        seen = np.count_nonzero(counts, axis=0)
         self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
-        x = self.weighted(counts)
+        for a in range(0, len(counts), 256):
+            counts[a : a + 256] = self.weighted(counts[a : a + 256])
+        x = counts
         values, left = np.linalg.eigh(x @ x.T)
         top = np.argsort(values)[::-1][:dimensions]
         top = top[values[top] > 1e-6]
-        self.projection = (x.T @ (left[:, top] / np.sqrt(values[top]))).astype(np.float32)
+        left = np.ascontiguousarray(left[:, top] / np.sqrt(values[top]))
+        self.projection = (x.T @ left).astype(np.float32)
         self.vectors = unit(x @ self.projection)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:

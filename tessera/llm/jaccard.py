@@ -45,8 +45,10 @@ GROUP = 512
 GROUP_BYTES = 2 << 20
 #: Compressed bytes that one task verifies, about.
 TASK_BYTES = 8 << 20
-#: Keys that are merged in a task before they are shuffled.
-MERGE = 1 << 20
+#: Keys that are merged in a task before they are shuffled, and sets that it
+#: remembers.
+MERGE = 1 << 18
+MET = 100_000
 
 
 def bounds(percent: int) -> Iterator[tuple[int, int]]:
@@ -191,8 +193,9 @@ def sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> Da
 def merged(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (key, set_id) that link the same sets as the given ones.
 
-    Each key stays with its first owner alone.  Each other owner is linked to
-    that one by a key of the two, once however many keys they share.
+    Each key stays with its first owner alone, in the order given, in which a
+    set's keys lie together and compress.  Each other owner is linked to that
+    one by a key of the two, once however many keys they share.
     """
     if not len(keys):
         return keys, owners
@@ -203,7 +206,8 @@ def merged(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pairs = np.unique(np.stack([head, o], 1)[head != o], axis=0)
     with np.errstate(over="ignore"):
         own = K.mix(K.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) + np.uint64(0x2545F491))
-    return np.concatenate([k[begin], own, own]), np.concatenate([o[begin], pairs[:, 0], pairs[:, 1]])
+    first = np.sort(order[begin])
+    return np.concatenate([keys[first], own, own]), np.concatenate([owners[first], pairs[:, 0], pairs[:, 1]])
 
 
 def _keys(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
@@ -225,7 +229,7 @@ def _keys(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
             for block in K.blocks(batch.column(2)):
                 g, at = shingles(block, n)
                 ids = set_ids(g, at).tolist()
-                if len(met) > 500_000:
+                if len(met) > MET:
                     met.clear()
                 for i, x in enumerate(ids):
                     if at[i + 1] - at[i] > 1 and x not in met:
@@ -265,7 +269,7 @@ def _texts(docs: DataFrame, n: int, bitmap: np.ndarray, key: str, text: str) ->
                 may = (shared.value[slots >> 6] >> (slots & 63)) & 1
                 ids = batch.column(2).slice(block.first, block.n).to_pylist()
                 raw, at = block.data.tobytes(), block.starts.tolist()
-                if len(met) > 500_000:
+                if len(met) > MET:
                     met.clear()
                 rows = [(x, press.compress(raw[at[i] : at[i + 1]])) for i, x in enumerate(ids) if may[i] and not (x in met or met.add(x))]
                 if rows:

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes whose sums are held at once for hashing.
+SUM_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -45,7 +47,7 @@ LOWER[0x41:0x5B] += 0x20
 def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n of each at least."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, BLOCK_BYTES + 4096)
+        size = max(n, SUM_BYTES + 4096)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, _U)
             steps[0] = 1
@@ -96,6 +98,8 @@ class Block:
     def hashes(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte ranges."""
         n = len(self.data)
+        if n > SUM_BYTES and len(begins) > 1 and np.all(begins[1:] >= begins[:-1]):
+            return self._piecewise(begins, ends)
         up, down = power(n + 1)
         if self._sums is None:
             with np.errstate(over="ignore"):
@@ -106,6 +110,33 @@ class Block:
         with np.errstate(over="ignore"):
             return mix((self._sums[ends] - self._sums[begins]) * down[begins] + (ends - begins).astype(_U))
 
+    def _piecewise(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of ranges in order of begin, by pieces of a long text."""
+        out = np.empty(len(begins), _U)
+        long = ends - begins > SUM_BYTES // 2
+        for i in np.flatnonzero(long).tolist():
+            out[i] = Block(self.data[begins[i] : ends[i]], np.zeros(1, np.int64))._whole()[0]
+        short = np.flatnonzero(~long)
+        begins, ends, i = begins[short], ends[short], 0
+        while i < len(short):
+            low = int(begins[i])
+            j = int(np.searchsorted(begins, low + SUM_BYTES // 2))
+            high = int(ends[i:j].max())
+            out[short[i:j]] = Block(self.data[low:high], np.zeros(1, np.int64)).hashes(begins[i:j] - low, ends[i:j] - low)
+            i = j
+        return out
+
+    def _whole(self) -> np.ndarray:
+        """The hash of all bytes, part by part."""
+        total, scale, n = _U(0), _U(1), len(self.data)
+        with np.errstate(over="ignore"):
+            for a in range(0, n, SUM_BYTES):
+                part = _TABLE[self.data[a : a + SUM_BYTES]]
+                up, _ = power(len(part) + 1)
+                total = total + scale * (part * up[: len(part)]).sum(dtype=_U)
+                scale = scale * up[len(part)]
+            return mix(np.array([total + _U(n)], _U))
+
 
 def grams(h: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive words of one text, and where they start."""

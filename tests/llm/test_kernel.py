@@ -48,3 +48,17 @@ def test_block_edges():
     sliced = pa.array(["xx", "a b", None, "c"]).slice(1)
     block = next(K.blocks(sliced))
     assert block.n == 3 and block.data.tobytes() == b"a bc" and np.diff(block.starts).tolist() == [3, 0, 1]
+
+
+def test_hashes_of_long_texts_by_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    begins = np.sort(rng.integers(0, 4900, 400))
+    ends = begins + rng.integers(0, 90, 400)
+    begins, ends = np.append(begins, 4950), np.append(ends, 5000)
+    begins[0], ends[0] = 0, 4000  # longer than a piece
+    whole = K.Block(data, np.array([0, 5000])).hashes(begins, ends)
+    monkeypatch.setattr(K, "SUM_BYTES", 300)
+    assert (K.Block(data, np.array([0, 5000])).hashes(begins, ends) == whole).all()
+    for i in range(0, 400, 40):
+        assert K.Block(data[begins[i] : ends[i]], np.array([0, ends[i] - begins[i]]))._whole()[0] == whole[i]

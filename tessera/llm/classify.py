@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import map_arrow, prepare, require
+from .common import map_arrow, prepare, require, trim
 from .rules import count_block
 
 TRIGRAMS = 3072
@@ -122,7 +123,8 @@ def held_out(key: Column) -> Column:
 
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [row.tobytes() for b in K.blocks(batch.column(2)) for row in features(b)]
+        press = zstandard.ZstdCompressor(level=1)  # most counts are 0
+        rows = [press.compress(row.tobytes()) for b in K.blocks(batch.column(2)) for row in features(b)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "label", "counts"])
 
 
@@ -130,10 +132,14 @@ def _fitter(dimensions: int, neighbours: int):
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("id").to_numpy())
         counts = np.empty((len(t), WIDTH), np.float32)
+        unpack = zstandard.ZstdDecompressor()
         for at, row in zip(np.argsort(order), t.column("counts"), strict=True):
-            counts[at] = np.frombuffer(row.as_buffer(), np.float32)
+            counts[at] = np.frombuffer(unpack.decompress(row.as_buffer()), np.float32)
         model = Model(counts, t.column("label").to_numpy()[order], dimensions, neighbours)
-        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        out = pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        del counts
+        trim()
+        return out
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterator
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from .. import session
 from ..session import cut
 
-__all__ = ["cut", "free_name", "map_arrow", "partitions", "prepare", "release", "require", "table", "written"]
+__all__ = ["cut", "free_name", "map_arrow", "partitions", "prepare", "release", "require", "table", "trim", "written"]
 
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows in one Arrow batch sent to Python; texts can be long, so it is small.
@@ -49,9 +51,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system;
+    workers live on, and so would what the allocators keep."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def partitions(df: DataFrame) -> int:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernel as K
-from .common import cut, free_name, map_arrow, partitions, prepare, release, require
+from .common import cut, free_name, map_arrow, partitions, prepare, release, require, trim
 from .components import components
 
 NGRAM = 5
@@ -247,8 +247,9 @@ def _keys(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits set for all ids; at most BITMAP_WORDS rows reach the driver."""
-    slot = F.xxhash64("set_id").bitwiseAND(BITMAP_WORDS * 64 - 1)
+    """Bits set for all ids (their lowest bits, as ids are hashes); at most
+    BITMAP_WORDS rows reach the driver."""
+    slot = F.col("set_id").bitwiseAND(BITMAP_WORDS * 64 - 1)
     got = ids.select(slot.alias("slot")).selectExpr("slot div 64 as w", "shiftleft(1L, cast(slot & 63 as int)) as bit")
     got = got.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITMAP_WORDS, np.int64)
@@ -257,7 +258,8 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, n: int, bitmap: np.ndarray, key: str, text: str) -> DataFrame:
-    """set_id and compressed text of sets that the bitmap may hold."""
+    """set_id and compressed text of sets that the bitmap may hold.  The ids
+    are worked out again rather than joined to the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP_WORDS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,27 +267,18 @@ def _texts(docs: DataFrame, n: int, bitmap: np.ndarray, key: str, text: str) ->
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for block in K.blocks(batch.column(0)):
-                slots = batch.column(1).slice(block.first, block.n).to_numpy()
+                found = set_ids(*shingles(block, n))
+                slots = found & (BITMAP_WORDS * 64 - 1)
                 may = (shared.value[slots >> 6] >> (slots & 63)) & 1
-                ids = batch.column(2).slice(block.first, block.n).to_pylist()
-                raw, at = block.data.tobytes(), block.starts.tolist()
                 if len(met) > MET:
                     met.clear()
-                rows = [(x, press.compress(raw[at[i] : at[i + 1]])) for i, x in enumerate(ids) if may[i] and not (x in met or met.add(x))]
+                at = block.starts.tolist()
+                rows = [(x, press.compress(block.data[at[i] : at[i + 1]].tobytes())) for i, x in enumerate(found.tolist()) if may[i] and not (x in met or met.add(x))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([z for _, z in rows], pa.binary())], ["set_id", "z"])
 
-    # the sets' ids are worked out again rather than joined to the texts
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in K.blocks(batch.column(0)):
-                g, at = shingles(block, n)
-                found = pa.array(set_ids(g, at))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), found], ["t", "set_id"])
-
-    marked = map_arrow(docs.select(F.col(text).cast("string").alias("t")).where("t <> ''"), ids, "t string, set_id long")
-    slot = F.xxhash64("set_id").bitwiseAND(BITMAP_WORDS * 64 - 1)
-    return map_arrow(marked.select("t", slot.alias("slot"), "set_id"), run, "set_id long, z binary").dropDuplicates(["set_id"])
+    texts = docs.select(F.col(text).cast("string").alias("t")).where("t <> ''")
+    return map_arrow(texts, run, "set_id long, z binary").dropDuplicates(["set_id"])
 
 
 def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -382,6 +375,7 @@ def _verifier(n: int, percent: int):
             b += [members[root[k]][2] for k in linked]
             degree += near[linked].astype(np.int64).tolist()
             final += [whole[members[0][4]]] * len(linked)
+        trim()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(degree, pa.int64()), pa.array(final, pa.bool_())], ["a", "b", "links", "whole"])
 
     return verify

@@ -10,7 +10,7 @@ from . import kernel as K
 
 #: Units that one Python worker remembers, about 50 bytes each; beyond it
 #: starts anew.
-MAX_UNITS = 1_500_000
+MAX_UNITS = 500_000
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ after equal anchors.  The steps are:
    matter: chunks exchange short hashes of the halves and drop those contexts
    (a chance agreement keeps a context, and costs nothing else);
 3. the contexts that are left are dealt out to buckets by splitters sampled
-   from the anchors' leading bytes;
+   from their leading bytes;
 4. a bucket sorts its contexts by what follows and, within one anchor, by
    what precedes (multikey quicksort, eight bytes a step), compares
    neighbours, also those from different chunks, and finds for each window
@@ -39,16 +39,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import numbered
 from . import kernel as K
-from .common import cut, map_arrow, prepare, require
+from .common import cut, map_arrow, prepare, require, trim
 
 WINDOW = 50
 GRAM = 16
 CHUNK = 2 << 20
 #: Bytes of text for each bucket, about.
 BUCKET = 16 << 20
-#: Anchors that each chunk gives for the choice of splitters.
-SAMPLE = 32
+#: Contexts that a chunk gives for the choice of splitters, and one in how
+#: many chunks gives them (all do if there are few).
+SAMPLE = 256
+SHARE = 8
 
 _NULL_ID = (1 << 63) - 1  # a null id counts as the largest
 
@@ -338,19 +341,6 @@ def _valid_bits(lo: np.ndarray, hi: np.ndarray, side: int) -> np.ndarray:
     return out
 
 
-def _sampler(window: int, gram: int, sample: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, starts, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, block = _open(ids, starts, data)
-                part = K.Block(block.data[: 1 << 16], np.unique(np.minimum(block.starts, 1 << 16)))
-                at, _ = anchors(part, window, gram) if part.n else (np.zeros(0, np.int64), None)
-                at = at[np.linspace(0, len(at) - 1, min(sample, len(at))).astype(int)] if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array([part.data[i : i + 16].tobytes() for i in at.tolist()], pa.binary())], ["lead"])
-
-    return run
-
-
 def _half_sets(window: int, gram: int, bits: int, parts: int):
     """Each chunk's hashes of half contexts, by their leading bits."""
 
@@ -394,26 +384,47 @@ def _met_twice(t: pa.Table) -> pa.Table:
     return pa.table([t.column("chunk"), t.column("part"), pa.array(flags, pa.binary())], ["chunk", "part", "flags"])
 
 
+def _kept(row: dict, marks: pa.Table, window: int, gram: int, bits: int, parts: int) -> tuple[Contexts, np.ndarray]:
+    """A chunk's contexts, and the places of those that may matter."""
+    unpack = zstandard.ZstdDecompressor()
+    c = Contexts(*_open(row["ids"], row["starts"], row["data"]), window, gram)
+    found, twice, right, left = c.halves(bits)
+    cuts = _parts(found, bits, parts)
+    for mark in marks.to_pylist():
+        a, b = cuts[mark["part"]], cuts[mark["part"] + 1]
+        twice[a:b] |= np.unpackbits(np.frombuffer(unpack.decompress(mark["flags"]), np.uint8), count=b - a).astype(bool)
+    twice = np.append(twice, False)
+    return c, np.flatnonzero(twice[right] | twice[left])
+
+
+def _leads(window: int, gram: int, bits: int, parts: int):
+    """Leading bytes of some contexts that may matter, spread over the chunk."""
+
+    def run(chunks: pa.Table, marks: pa.Table) -> pa.Table:
+        out: list[bytes] = []
+        for row in chunks.to_pylist():
+            c, keep = _kept(row, marks, window, gram, bits, parts)
+            some = keep[np.linspace(0, len(keep) - 1, min(SAMPLE, len(keep))).astype(int)] if len(keep) else keep
+            out += [x.tobytes() for x in c.lead[some].astype(">u8")]
+        return pa.table({"lead": pa.array(out, pa.binary())})
+
+    return run
+
+
 def _requests(window: int, gram: int, bits: int, parts: int, shared):
     """Sends on the contexts that may matter."""
 
     def run(chunks: pa.Table, marks: pa.Table) -> pa.Table:
-        press, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        press = zstandard.ZstdCompressor(level=3)
         out = []
         for row in chunks.to_pylist():
-            c = Contexts(*_open(row["ids"], row["starts"], row["data"]), window, gram)
-            found, twice, right, left = c.halves(bits)
-            cuts = _parts(found, bits, parts)
-            for mark in marks.to_pylist():
-                a, b = cuts[mark["part"]], cuts[mark["part"] + 1]
-                twice[a:b] |= np.unpackbits(np.frombuffer(unpack.decompress(mark["flags"]), np.uint8), count=b - a).astype(bool)
-            twice = np.append(twice, False)
-            keep = np.flatnonzero(twice[right] | twice[left])
+            c, keep = _kept(row, marks, window, gram, bits, parts)
             edges = np.searchsorted(keep, c.cuts(shared.value)).tolist()
             for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if b > a:
                     k = keep[a:b]
                     out.append((bucket, row["chunk"], b - a, press.compress(b"".join([c.least[k].tobytes(), k.astype(np.uint32).tobytes(), c.row_lo[k].astype(np.uint8).tobytes(), c.row_hi[k].astype(np.uint8).tobytes(), c.rows[k].tobytes()]))))
+        trim()
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "n", "payload"])
 
@@ -461,6 +472,8 @@ def _bucket(window: int, gram: int):
             at = np.flatnonzero(bits[a:b])
             if len(at):
                 out.append((t.column("chunk")[i].as_py(), bucket, press.compress(place[a:b][at].tobytes() + bits[a:b][at].tobytes())))
+        del rows, least, lo, hi, place
+        trim()
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["chunk", "bucket", "payload"])
 
@@ -532,21 +545,32 @@ def _apply(window: int, gram: int, carry: bool):
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 
 
+def _splitters(leads: DataFrame, buckets: int) -> np.ndarray:
+    """Leading bytes that cut the sample into ``buckets`` equal parts; only
+    they reach the driver."""
+    if buckets < 2:
+        return np.zeros((0, 2), np.uint64)
+    place = numbered(leads, [F.col("lead")], "place")
+    n = place.count()
+    # where floor(place * buckets / n) goes up by one
+    at = F.expr(f"place > 0 AND place * {buckets} div {max(n, 1)} > (place - 1) * {buckets} div {max(n, 1)}")
+    chosen = sorted({bytes(r["lead"]) for r in place.where(at).select("lead").collect()})
+    return np.frombuffer(b"".join(chosen), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
 def _answered(chunks: DataFrame, window: int, gram: int, bucket: int):
     """Verdicts for each chunk."""
-    total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).head()["n"]
-    buckets = max(1, -(-total // bucket))
-    # SAMPLE rows of 16 bytes for a chunk: less than a 5,000th of the text
-    leads = map_arrow(chunks.select("ids", "starts", "data"), _sampler(window, gram, SAMPLE), "lead binary").toArrow().column(0).to_pylist()
-    leads = sorted(x for x in leads if len(x) == 16)
-    chosen = sorted({leads[len(leads) * i // buckets] for i in range(1, buckets)}) if leads else []
-    splitters = np.frombuffer(b"".join(chosen), ">u8").reshape(-1, 2).astype(np.uint64)
-    shared = chunks.sparkSession.sparkContext.broadcast(splitters)  # 16 bytes for each bucket
+    size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("chunks")).head()
+    buckets = max(1, -(-size["bytes"] // bucket))
     # few of that many numbers agree by chance
-    bits = min(64, max(24, total.bit_length() + 8))
+    bits = min(64, max(24, size["bytes"].bit_length() + 8))
     texts = chunks.select("chunk", "ids", "starts", "data")
     halves = map_arrow(texts, _half_sets(window, gram, bits, buckets), "part long, chunk long, n long, payload binary")
-    marks = halves.groupBy("part").applyInArrow(_met_twice, "chunk long, part long, flags binary")
+    marks = cut(halves.groupBy("part").applyInArrow(_met_twice, "chunk long, part long, flags binary"))
+    # splitters come from contexts that are sent, of some chunks
+    some, some_marks = (x.where(F.pmod(F.xxhash64("chunk"), F.lit(SHARE)) == 0) if size["chunks"] > 8 * SHARE else x for x in (texts, marks))
+    leads = some.groupBy("chunk").cogroup(some_marks.groupBy("chunk")).applyInArrow(_leads(window, gram, bits, buckets), "lead binary")
+    shared = chunks.sparkSession.sparkContext.broadcast(_splitters(leads, buckets))  # 16 bytes for each bucket
     sent = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_requests(window, gram, bits, buckets, shared), "bucket long, chunk long, n long, payload binary")
     return sent.groupBy("bucket").applyInArrow(_bucket(window, gram), "chunk long, bucket long, payload binary")
 
@@ -562,6 +586,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     ``spans`` are the maximal removed byte ranges.  Null texts count as empty.
     Rows with one id are parts of one document, whose strings don't remove
     each other, and so are rows with a null id, which counts as the largest.
+    Other columns are left out.
     Contexts of anchors are told apart by 64-bit hashes and compared byte by
     byte.  A single text of n bytes needs about 60 n bytes of memory.
     """

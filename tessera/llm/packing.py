@@ -121,7 +121,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     """A row for each piece: doc_id, piece, start, length, ids_crc32.
 
     ``tokenizer`` is a path on the driver; the definition itself is sent to
-    the executors.  Null texts count as empty and have the end token alone.
+    the executors.  Null texts count as empty and have the end token alone;
+    repeated rows have pieces each; other columns are left out.
     """
     require(docs, key, text)
     definition = Path(tokenizer).read_text()
@@ -192,12 +193,19 @@ def _merger(capacity: int):
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``items`` (a column ``length`` of 1 to ``capacity`` and any others
-    but bin, fill, slot, node) with sequence_id and offset.
+    """``items`` (a column ``length`` of 1 to ``capacity`` and any others)
+    with sequence_id and offset.
 
-    Each row is one item, repeated rows too.  Empty input gives no rows.
+    Each row is one item, repeated rows too.  Columns of ``items`` may have any
+    names; a sequence_id or offset that is there is replaced.  Empty input
+    gives no rows.
     """
+    require(items, "length")
     full = capacity - int(capacity * NEARLY_FULL)
+    given = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(given)]
+    size = f"c{given.index('length')}"
+    items = items.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)))
     # checkpointed first: the row numbers must not change if a task is repeated
     items = cut(items.withColumn("slot", F.monotonically_increasing_id()))
     groups = max(1, -(-items.count() // group))
@@ -207,7 +215,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         node = t.column("node")[0].as_py()
         order = np.argsort(t.column("slot").to_numpy())
         t = t.take(pa.array(order))
-        bins, offsets, fill = best_fit(t.column("length").to_numpy(), capacity)
+        bins, offsets, fill = best_fit(t.column(size).to_numpy(), capacity)
         names = [c for c in t.column_names if c != "node"]
         return pa.table([*(t.column(c) for c in names), pa.array(np.full(len(t), node)), pa.array((node << 24) + bins), pa.array(offsets), pa.array(fill[bins])], [*names, "node", "bin", "offset", "fill"])
 
@@ -234,11 +242,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         done = final if done is None else done.unionByName(final)
         level = level.where(F.col("fill") < full)
     if done is None:
-        return packed.withColumnRenamed("bin", "sequence_id").drop("fill", "slot", "node")
+        return packed.select(*own, F.col("bin").alias("sequence_id"), "offset")
     moved = done.select(F.col("bin").alias("from_bin"), "seq", "shift")
-    return (
-        packed.join(moved, F.col("bin") == F.col("from_bin"), "left")
-        .withColumn("sequence_id", F.coalesce("seq", "bin"))
-        .withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
-        .drop("from_bin", "seq", "shift", "bin", "fill", "slot", "node")
-    )
+    placed = packed.join(moved, F.col("bin") == F.col("from_bin"), "left")
+    return placed.select(*own, F.coalesce("seq", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))

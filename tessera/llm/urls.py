@@ -197,6 +197,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str
     reaches the threshold.  A null URL or one without ``://`` has an empty
     host and path, which score 0 and are judged like others.  Without labelled
     URLs of both classes every undecided URL is allowed, with score 0.
+    Repeated rows are counted and judged each; other columns are left out.
     """
     ruled = with_rules(pages, rules, key, url)
     fitted = fit(ruled)

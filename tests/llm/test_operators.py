@@ -285,6 +285,15 @@ def test_packing_merges_bins(spark):
     assert len(fill) == 2 and fill.sum() == 200
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["bin", "seq", "shift", "fill", "slot", "node", "from_bin", "part", "c0", "sequence_id", "offset"]
+    items = spark.createDataFrame([(60 - i % 3, *(f"{n}{i}" for n in names)) for i in range(300)], "length long, " + ", ".join(f"`{n}` string" for n in names))
+    got = packing.pack(items, capacity=100, group=40)
+    assert got.columns == ["length", *names[:-2], "sequence_id", "offset"]
+    rows = got.collect()
+    assert check_packed(rows, 100) == 300 and sorted(r.fill for r in rows) == sorted(f"fill{i}" for i in range(300)) and all(r.c0 == "c0" + r.bin[3:] for r in rows)
+
+
 def test_packing_merges_more_bins_than_one_task_gets(spark):
     # 128,000 bins of 60 in one node, and a bin of 40 that meets them at the root
     items = spark.range(0, 130_000, 1, 1).selectExpr("CASE WHEN id % 65 < 64 THEN 60L WHEN id = 64 THEN 40L ELSE 100L END AS length", "id")
@@ -529,7 +538,7 @@ def plain_scan(words, phrases, templates, min_match, max_gap):
 
 
 def found_in(row):
-    return sorted((p["label"], p["start"]) for p in row["places"]), sorted((x["start"], x["end"], x["label"], x["coverage"]) for x in row["spans"])
+    return sorted(p if isinstance(p, tuple) and not hasattr(p, "label") else (p["label"], p["start"]) for p in row["places"]), sorted((x["start"], x["end"], x["label"], x["coverage"]) for x in row["spans"])
 
 
 def test_licences_match_brute_force():
@@ -644,6 +653,8 @@ def test_urls(spark):
             verdict = "allow" if plain_score(rows, host + path) >= threshold else "block"
         assert got[i].verdict == verdict, url
     assert urls.judge(pages.where("page_id < 0")).collect() == []
+    clash = pages.unionAll(pages.limit(5)).selectExpr("*", "'x' AS host", "'y' AS rule", "1 AS chunk", "'z' AS verdict")
+    assert urls.judge(clash).count() == len(rows) + 5 and urls.judge(clash).where("host = 'x'").count() == 0
     assert {r.verdict for r in urls.judge(pages.where("url LIKE '%example.com/en%'")).collect()} == {"allow"}
 
 

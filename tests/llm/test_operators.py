@@ -622,6 +622,25 @@ def test_classifier(spark):
         assert zlib.crc32(str(r.doc_id).encode()) % 4 == 2
 
 
+def test_classifier_votes_match_brute_force(spark, small):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = classify.fit(small, labels)
+    texts = {r.doc_id: r.text for r in small.collect()}
+    learnt = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert model.labels.tolist() == [learnt[i] for i in sorted(learnt)]
+    got = {r.doc_id: r.score for r in classify.score(small, model).collect()}
+    known = [v.astype(float) for v in model.vectors]
+    for i, t in texts.items():
+        counts = classify.features(next(K.blocks(pa.array([t]))))
+        x = (model.weighted(counts) @ model.projection)[0].astype(float)
+        cosine = [float(np.dot(x, v) / max(np.linalg.norm(x), 1e-9)) for v in known]
+        last = sorted(cosine)[-min(classify.NEIGHBOURS, len(cosine))]
+        votes = [(np.exp(20 * (c - 1)), y) for c, y in zip(cosine, model.labels.tolist(), strict=True) if c >= last - classify.TIE]
+        assert got[i] == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=2e-3)
+    again = classify.classify(small.repartition(7), labels).select("doc_id", "score").collect()
+    assert np.mean([abs(got[r.doc_id] - r.score) < 2e-5 for r in again]) == 1.0
+
+
 def test_classifier_edges(spark, edges):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (8, 0, 0), (None, 1, 0), (3, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in classify.classify(edges, labels).collect()}

@@ -15,8 +15,9 @@ agree in some segments, or differ there by one token:
 
 m, q and e are chosen for each band by a cost model (:func:`allocate`).  Sets
 that share a key form candidate groups; groups are verified exactly, whole
-if they are small and otherwise in pairs of blocks, and only a spanning forest
-of the links leaves a task.
+if they are small.  Otherwise each band of a group is cut into blocks, and
+pairs of blocks of one band and of neighbouring bands are verified, as no link
+skips a band.  Only a spanning forest of the links leaves a task.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ PERCENT = 80
 #: Words of bits that say which sets are candidates; broadcast, fixed size.
 BITMAP_WORDS = 1 << 18
 #: Sets, and bytes of their compressed texts, in one block of a candidate group.
-GROUP = 512
+GROUP = 1024
 GROUP_BYTES = 2 << 20
 #: Compressed bytes that one task verifies, about.
 TASK_BYTES = 8 << 20
@@ -344,28 +345,29 @@ def _sets_of(z: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def _verifier(n: int, percent: int):
-    """A task's rows: job, whole (the job is a whole group), side (0: with
-    each other, or left; 1: right), set_id, copies, z.  Gives a member, the
-    least of those it reaches here, its links here, and ``whole``."""
+    """A task's rows: job, kind (0: a whole group, 1: one block, 2: two), side
+    (of two blocks), set_id, copies, z.  Gives a member, the least of those it
+    reaches here, its links here, and whether that is of a whole group."""
 
     def verify(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("job").to_pylist(), t.column("side").to_pylist(), t.column("set_id").to_pylist(), t.column("copies").to_pylist(), range(len(t)), strict=True))
         z = t.column("z")
-        whole = t.column("whole").to_pylist()
+        kinds = t.column("kind").to_pylist()
         a, b, degree, final = [], [], [], []
         i = 0
         while i < len(rows):
             j = i
             while j < len(rows) and rows[j][0] == rows[i][0]:
                 j += 1
+            kind = kinds[rows[i][4]]
             left = [r for r in rows[i:j] if r[1] == 0]
             right = [r for r in rows[i:j] if r[1] == 1]
             i = j
-            if len(left) + len(right) < 2:
+            if len(left) < 2 if kind < 2 else not left or not right:
                 continue
             found = [_sets_of([z[r[4]].as_py() for r in part], n) for part in (left, right)]
-            x, y = links(found[0], found[1] if right else None, percent)
-            y = y + len(left) if right else y
+            x, y = links(found[0], found[1] if kind == 2 else None, percent)
+            y = y + len(left) if kind == 2 else y
             members = left + right
             copies = np.array([r[3] for r in members], np.int64)
             near = np.bincount(x, weights=copies[y], minlength=len(members)) + np.bincount(y, weights=copies[x], minlength=len(members))
@@ -374,7 +376,7 @@ def _verifier(n: int, percent: int):
             a += [members[k][2] for k in linked]
             b += [members[root[k]][2] for k in linked]
             degree += near[linked].astype(np.int64).tolist()
-            final += [whole[members[0][4]]] * len(linked)
+            final += [kind == 0] * len(linked)
         trim()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(degree, pa.int64()), pa.array(final, pa.bool_())], ["a", "b", "links", "whole"])
 
@@ -387,7 +389,7 @@ def _joined(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataF
     require(docs, key, text)
     spark = prepare(docs.sparkSession)
     members = cut(sets(docs, n, key, text))
-    classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"))
     classes = cut(classes)
     w = Window.partitionBy("key")
     release(spark)
@@ -395,23 +397,11 @@ def _joined(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataF
     stars = cut(shared.where("set_id <> a").select(F.col("set_id").alias("b"), "a").distinct())
     groups = components(stars)  # node, label of candidate groups
     texts = cut(_texts(docs, n, _bitmap(groups.select(F.col("node").alias("set_id"))), key, text))
-    # A block is bounded in sets and in bytes.  A group of one block is one
-    # job; of more, each pair of blocks is one, so a set goes to as many jobs
-    # as there are blocks.
-    sized = groups.join(texts.select("set_id", F.length("z").alias("bytes")), F.col("node") == F.col("set_id"))
-    size = sized.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    size = cut(size.select(F.col("label").alias("of"), "bytes", F.ceil(F.greatest(F.col("n") / GROUP, F.col("bytes") / GROUP_BYTES)).cast("int").alias("blocks")))
-    nodes = (
-        groups.join(size.drop("bytes"), F.col("label") == F.col("of")).withColumnRenamed("node", "set_id")
-        .join(classes.select("set_id", "copies"), "set_id").join(texts, "set_id")
-        .select("set_id", "label", "blocks", "copies", "z", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"))
-    )
-    jobs = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lower, upper = F.least("block", "other"), F.greatest("block", "other")
-    jobs = jobs.select(F.xxhash64("label", lower, upper).alias("job"), (F.col("blocks") == 1).alias("whole"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "set_id", "copies", "z")
-    moved = size.agg(F.sum(F.col("bytes") * F.col("blocks")).alias("n")).head()["n"] or 0
+    jobs = cut(_jobs(groups, classes, texts, percent))
+    moved = jobs.agg(F.sum("bytes").alias("n")).head()["n"] or 0
     task = F.pmod("job", F.lit(max(4 * partitions(docs), moved // TASK_BYTES)))
-    found = cut(jobs.groupBy(task.alias("task")).applyInArrow(_verifier(n, percent), "a long, b long, links long, whole boolean"))
+    rows = jobs.drop("bytes").join(classes.select("set_id", "copies"), "set_id").join(texts, "set_id")
+    found = cut(rows.groupBy(task.alias("task")).applyInArrow(_verifier(n, percent), "a long, b long, links long, whole boolean"))
     # within whole groups the labels are final
     labels = found.where("whole").select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = labels.unionByName(components(found.where("NOT whole")))
@@ -426,6 +416,38 @@ def _joined(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataF
     )
 
 
+def _jobs(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """set_id, bytes, job, kind and side: a row for each job that a set is in.
+
+    A block is bounded in sets and in bytes.  A group of one block is one job.
+    Of others, a set meets the blocks of its own band and of the two next to
+    it.
+    """
+    starts = F.array(*(F.lit(int(x)) for x in bands(percent)))
+    sets_of = groups.join(classes.select("set_id", "size"), F.col("node") == F.col("set_id")).drop("node")
+    sets_of = sets_of.join(texts.select("set_id", F.length("z").alias("bytes")), "set_id")
+    sets_of = cut(sets_of.select("set_id", "label", "bytes", F.size(F.filter(starts, lambda x: x <= F.col("size"))).alias("band")))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("bytes") / GROUP_BYTES)).cast("int")
+    whole = sets_of.groupBy("label").agg(blocks.alias("n")).select(F.col("label").alias("of"), (F.col("n") == 1).alias("whole"))
+    rows = sets_of.join(whole, F.col("label") == F.col("of")).drop("of")
+    cuts = cut(rows.where("NOT whole").groupBy("label", "band").agg(blocks.alias("blocks")))
+    for name, step in (("own", 0), ("above", 1), ("below", -1)):
+        side = cuts.select(F.col("label").alias("of"), (F.col("band") - step).alias("of_band"), F.col("blocks").alias(name))
+        rows = rows.join(side, (F.col("label") == F.col("of")) & (F.col("band") == F.col("of_band")), "left").drop("of", "of_band")
+    rows = rows.withColumn("block", F.coalesce(F.pmod(F.xxhash64("set_id"), "own"), F.lit(0)).cast("int"))
+
+    def each(name: str, made) -> Column:
+        numbers = F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda j: F.struct(*(x.alias(k) for k, x in zip(("job", "kind", "side"), made(j), strict=True))))
+
+    block, band = F.col("block"), F.col("band")
+    alone = F.array(F.struct(F.xxhash64("label").alias("job"), F.lit(0).alias("kind"), F.lit(0).alias("side")))
+    own = each("own", lambda j: (F.xxhash64("label", band, F.least(block, j), F.lit(0), F.greatest(block, j)), F.when(block == j, 1).otherwise(2), F.when(block <= j, 0).otherwise(1)))
+    above = each("above", lambda j: (F.xxhash64("label", band, block, F.lit(1), j), F.lit(2), F.lit(0)))
+    below = each("below", lambda j: (F.xxhash64("label", band - 1, j, F.lit(1), block), F.lit(2), F.lit(1)))
+    return rows.select("set_id", "bytes", F.explode(F.when(F.col("whole"), alone).otherwise(F.concat(own, above, below))).alias("of")).select("set_id", "bytes", "of.job", "of.kind", "of.side")
+
+
 def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row.
 

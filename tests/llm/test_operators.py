@@ -94,8 +94,11 @@ def test_jaccard_large_group_in_blocks(spark, monkeypatch):
         for _ in range(int(rng.integers(0, 9))):
             words[int(rng.integers(100))] = f"e{rng.integers(10**6)}"
         rows.append((i, " ".join(words)))
-    got = jaccard.jaccard_join(docs_of(spark, *rows), 3, 70).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == plain_components(plain_sets(rows, 3), 70)
+        rows.append((100 + i, " ".join(words[: int(rng.integers(40, 101))])))  # other bands of the same group
+    for size in (2 << 20, 700):  # few bytes a block: some blocks are empty
+        monkeypatch.setattr(jaccard, "GROUP_BYTES", size)
+        got = jaccard.jaccard_join(docs_of(spark, *rows), 3, 70).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == plain_components(plain_sets(rows, 3), 70)
 
 
 def test_jaccard_keys_find_every_link():

@@ -568,7 +568,7 @@ def _answered(chunks: DataFrame, window: int, gram: int, bucket: int):
     halves = map_arrow(texts, _half_sets(window, gram, bits, buckets), "part long, chunk long, n long, payload binary")
     marks = cut(halves.groupBy("part").applyInArrow(_met_twice, "chunk long, part long, flags binary"))
     # splitters come from contexts that are sent, of some chunks
-    some, some_marks = (x.where(F.pmod(F.xxhash64("chunk"), F.lit(SHARE)) == 0) if size["chunks"] > 8 * SHARE else x for x in (texts, marks))
+    some, some_marks = (x.where(F.pmod(F.xxhash64("chunk"), F.lit(SHARE)) == 0) if size["chunks"] > 2 * SHARE else x for x in (texts, marks))
     leads = some.groupBy("chunk").cogroup(some_marks.groupBy("chunk")).applyInArrow(_leads(window, gram, bits, buckets), "lead binary")
     shared = chunks.sparkSession.sparkContext.broadcast(_splitters(leads, buckets))  # 16 bytes for each bucket
     sent = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_requests(window, gram, bits, buckets, shared), "bucket long, chunk long, n long, payload binary")

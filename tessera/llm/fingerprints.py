@@ -9,11 +9,10 @@ similarity.  As the draws and t determine the value, a sample is identified by
 it, and a fingerprint is the hashes of the least values.
 
 A gamma draw is the sum of two exponential ones, and their ratio is uniform
-and independent of the sum.  So let v, v', u2 be uniform, c = -ln v - ln v',
-u1 = ln v / (ln v + ln v'), r = -ln u1 - ln u2 and b = -ln u2 / r.  Then the
-value is -ln(v) exp(-r t) with t = floor((ln weight - ln u2) / r), and for a
-word that occurs once t is 0 and the value -ln v: it needs no logarithm, as
-the greatest exp(-value) can be sought instead of the least value.
+and independent of the sum.  So with u1 to u4 uniform, r = -ln(u1 u2),
+b = ln(u2) / ln(u1 u2) and c = -ln(u3 u4).  Then t = floor(ln(weight / u2) / r)
+and the value is c u1 (u1 u2) ** t; for a word that occurs once t is 0, so it
+takes one logarithm.
 
 Everything is DataFrame expressions.  A text's words stay in the partition
 that holds the text: only texts and fingerprints are shuffled.
@@ -38,29 +37,27 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def least_values(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """key, side, m0 ... from key, side, text; a text without words has no
-    row.  m0 ... are exp(-v) of the samples' least values v.
+    """key, side, m0 ... (the samples' least values) from key, side, text; a
+    text without words has no row.
 
     The input must be partitioned by key, so that nothing is shuffled here.
     """
     words = texts.select("key", "side", F.explode(F.split("text", SEPARATORS)).alias("word")).where(F.col("word") != "")
     terms = words.select("key", "side", F.xxhash64("word").alias("h")).groupBy("key", "side", "h").agg(F.count(F.lit(1)).alias("n"))
 
+    def uniform(x: Column, low: int, bits: int) -> Column:
+        return (F.shiftrightunsigned(x, low).bitwiseAND((1 << bits) - 1) + 0.5) * 2.0**-bits
+
     def value(k: int) -> Column:
         x = F.col(f"x{k}")
-        v = (F.shiftrightunsigned(x, 12) + 0.5) * 2.0**-52
-        more = F.xxhash64(x)
-        ln_v = F.log(v)
-        ln_w = F.log((more.bitwiseAND((1 << 26) - 1) + 0.5) * 2.0**-26)
-        ln_u = F.log((F.shiftrightunsigned(more, 38) + 0.5) * 2.0**-26)
-        r = -F.log(ln_v / (ln_v + ln_w)) - ln_u
-        t = F.floor((F.log(F.col("n").cast("double")) - ln_u) / r)
-        return F.when(F.col("n") == 1, v).otherwise(F.exp(ln_v * F.exp(-r * t)))
+        u1, u2 = uniform(x, 44, 20), uniform(x, 28, 16)
+        once = -F.log(uniform(x, 14, 14) * uniform(x, 0, 14)) * u1
+        return F.when(F.col("n") == 1, once).otherwise(once * F.pow(u1 * u2, F.floor(-F.log(F.col("n") / u2) / F.log(u1 * u2))))
 
     # one round of hashing: the word's hash, changed by a constant of the sample
     constants = mix(np.arange(1, samples + 1, dtype=np.uint64)).view(np.int64).tolist()
     hashed = terms.select("key", "side", "n", *(F.xxhash64(F.col("h").bitwiseXOR(F.lit(x))).alias(f"x{k}") for k, x in enumerate(constants)))
-    return hashed.groupBy("key", "side").agg(*(F.max(value(k)).alias(f"m{k}") for k in range(samples)))
+    return hashed.groupBy("key", "side").agg(*(F.min(value(k)).alias(f"m{k}") for k in range(samples)))
 
 
 def fingerprint(samples: int = SAMPLES) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, release
 
-#: How often a round follows pointers to pointers.
+#: How often pointers to pointers are followed before it is asked whether
+#: there are more.
 JUMPS = 2
 
 
@@ -15,12 +16,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) from columns a, b.
 
     In a round every node points to the least of itself and its neighbours,
-    and follows pointers 2 ** JUMPS steps.  Nodes that arrive together become
-    one, and only links between different ones go on to the next round, so
-    rounds grow with the logarithm of the longest path at most and links
-    shrink.  The least node of a component always stays itself, so it is what
-    all arrive at.  Only joins and partial minima are used, and each round is
-    checkpointed.  No edges, no rows; null nodes are passed over.
+    and follows pointers to their end, twice as far each time.  Nodes that
+    arrive together become one, so each round at least halves them, and only
+    links between different ones go on.  The least node of a component always
+    stays itself, so it is what all arrive at.  Only joins and partial minima
+    are used, and each round is checkpointed.  No edges, no rows; null nodes
+    are passed over.
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
@@ -30,10 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = []
     while not rounds or both.head(1):
         to = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")))
-        for _ in range(JUMPS):
-            on = to.select(F.col("node").alias("to"), F.col("to").alias("on"))
-            to = to.join(on, "to").select("node", F.col("on").alias("to"))
-        to = cut(to)
+        further = True
+        while further:
+            for _ in range(JUMPS):
+                on = to.select(F.col("node").alias("to"), F.col("to").alias("on"))
+                to = to.join(on, "to").select("node", F.col("on").alias("to"))
+            to = cut(to)
+            ends = to.select(F.col("node").alias("to"), F.col("to").alias("on"))
+            further = bool(to.join(ends, "to").where(F.col("to") != F.col("on")).head(1))
         left, right = (to.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")) for end in ("a", "b"))
         both = both.join(left, "a").join(right, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
         both = cut(both.distinct())

@@ -178,6 +178,30 @@ def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 20
 
 
+def _jobs_so_far(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    rng = np.random.default_rng(15)
+    links = components.cut(spark.createDataFrame(rng.integers(0, 3000, (3000, 2)).tolist(), "a long, b long").repartition(16))
+    before = _jobs_so_far(spark)
+    got = components.components(links)
+    assert _jobs_so_far(spark) - before <= 4  # what the driver holds grows with jobs
+    wanted = {x: min(g) for g in _groups(r for r in links.collect() if r.a != r.b) for x in g}
+    assert {r.node: r.label for r in got.collect()} == wanted
+
+
+@pytest.mark.parametrize("few", [0, 40, 300])
+def test_components_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = np.random.default_rng(16)
+    ids = rng.permutation(10**6)[:700].tolist()
+    links = [*zip(ids[:200], ids[1:201], strict=False), *((ids[300], x) for x in ids[301:400]), *rng.choice(ids[400:], (150, 2)).tolist(), (5, None), (-4, ids[0])]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(g) for g in _groups(x for x in links if x[1] is not None and x[0] != x[1]) for x in g}
+
+
 def plain_repeats(rows, w):
     first = {}
     for i, t in sorted(rows):

@@ -15,9 +15,12 @@ agree in some segments, or differ there by one token:
 
 m, q and e are chosen for each band by a cost model (:func:`allocate`).  Sets
 that share a key form candidate groups; groups are verified exactly, whole
-if they are small.  Otherwise each band of a group is cut into blocks, and
-pairs of blocks of one band and of neighbouring bands are verified, as no link
-skips a band.  Only a spanning forest of the links leaves a task.
+if they are small.  Keys of few tokens chain unrelated sets into groups that
+grow faster than the input.  So large groups are cut up first, by sketches
+(:func:`_refined`) that lose no link.  What is still large are near copies:
+each band of such a group is cut into blocks, and pairs of blocks of one band
+and of neighbouring bands are verified, as no link skips a band.  Only a
+spanning forest of the links leaves a task.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql.window import Window
 
 from . import kernel as K
 from .common import cut, free_name, map_arrow, partitions, prepare, release, require, trim
-from .components import components
+from .components import components, least
 
 NGRAM = 5
 PERCENT = 80
@@ -44,6 +47,11 @@ BITMAP_WORDS = 1 << 18
 #: Sets, and bytes of their compressed texts, in one block of a candidate group.
 GROUP = 1024
 GROUP_BYTES = 2 << 20
+#: Sketches, and bytes of them, in one block of a large group.
+SKETCHES = 1 << 14
+SKETCH_BYTES = 4 << 20
+#: Pairs that a task holds before it keeps a spanning forest of them.
+PAIRS = 1 << 20
 #: Compressed bytes that one task verifies, about.
 TASK_BYTES = 8 << 20
 #: Keys that are merged in a task before they are shuffled, and sets that it
@@ -317,6 +325,60 @@ def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: in
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (empty, empty)
 
 
+def sketch_words(band: int, percent: int) -> int:
+    """Words in the sketches of a band: two bits or more for a token, and a
+    power of two, so that a sketch can be folded to that of the band below."""
+    return max(1, 1 << (2 * int(bands(percent)[band]) - 1).bit_length() >> 6)
+
+
+def sketch(g: np.ndarray, words: int) -> np.ndarray:
+    """The parity of the tokens in each of 64 * words slots.  A token that one
+    set alone has flips one bit, so sketches never differ in more bits than
+    their sets do in tokens."""
+    slots = (K.mix(g ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(slots, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as they are with fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_pairs(x: np.ndarray, size_x: np.ndarray, y: np.ndarray | None, size_y: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (i, j) whose sketches differ in no more
+    bits than linked sets do in tokens: i < j within one list, or across two,
+    where j counts on from those of x."""
+    every = x if y is None else np.concatenate([x, y])
+    sizes = size_x if y is None else np.concatenate([size_x, size_y])
+    columns = np.ascontiguousarray(every.T)
+    begin, half = 0 if y is None else len(x), (len(columns) + 1) // 2
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i in range(len(x)):
+        start = max(begin, i + 1)
+        most = (100 - percent) * (sizes[i] + sizes[start:]) // (100 + percent)
+        bits = np.zeros(len(every) - start, np.int32)
+        for c in columns[:half]:
+            bits += np.bitwise_count(c[start:] ^ c[i])
+        hit = np.flatnonzero(bits <= most)
+        bits = bits[hit]
+        for c in columns[half:]:
+            bits += np.bitwise_count(c[start + hit] ^ c[i])
+        hit = start + hit[bits <= most[hit]]
+        a.append(np.full(len(hit), i))
+        b.append(hit)
+        held += len(hit)
+        if held > PAIRS:
+            nodes, to = least(np.concatenate(a), np.concatenate(b))
+            a, b, held = [to], [nodes], 0
+    nodes, to = least(np.concatenate(a), np.concatenate(b))
+    apart = nodes != to
+    return to[apart], nodes[apart]
+
+
 def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
     """The least number of each of n nodes' component."""
     root = list(range(n))
@@ -397,7 +459,7 @@ def _joined(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataF
     stars = cut(shared.where("set_id <> a").select(F.col("set_id").alias("b"), "a").distinct())
     groups = components(stars)  # node, label of candidate groups
     texts = cut(_texts(docs, n, _bitmap(groups.select(F.col("node").alias("set_id"))), key, text))
-    jobs = cut(_jobs(groups, classes, texts, percent))
+    jobs = cut(_jobs(groups, classes, texts, n, percent))
     moved = jobs.agg(F.sum("bytes").alias("n")).head()["n"] or 0
     task = F.pmod("job", F.lit(max(4 * partitions(docs), moved // TASK_BYTES)))
     rows = jobs.drop("bytes").join(classes.select("set_id", "copies"), "set_id").join(texts, "set_id")
@@ -416,21 +478,21 @@ def _joined(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataF
     )
 
 
-def _jobs(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """set_id, bytes, job, kind and side: a row for each job that a set is in.
+def _blocks(most: int, most_bytes: int) -> Column:
+    return F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("bytes") / most_bytes)).cast("int")
 
-    A block is bounded in sets and in bytes.  A group of one block is one job.
-    Of others, a set meets the blocks of its own band and of the two next to
-    it.
-    """
-    starts = F.array(*(F.lit(int(x)) for x in bands(percent)))
-    sets_of = groups.join(classes.select("set_id", "size"), F.col("node") == F.col("set_id")).drop("node")
-    sets_of = sets_of.join(texts.select("set_id", F.length("z").alias("bytes")), "set_id")
-    sets_of = cut(sets_of.select("set_id", "label", "bytes", F.size(F.filter(starts, lambda x: x <= F.col("size"))).alias("band")))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("bytes") / GROUP_BYTES)).cast("int")
-    whole = sets_of.groupBy("label").agg(blocks.alias("n")).select(F.col("label").alias("of"), (F.col("n") == 1).alias("whole"))
-    rows = sets_of.join(whole, F.col("label") == F.col("of")).drop("of")
-    cuts = cut(rows.where("NOT whole").groupBy("label", "band").agg(blocks.alias("blocks")))
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """``rows`` (label, bytes) with whether their group is one block."""
+    whole = rows.groupBy("label").agg((_blocks(GROUP, GROUP_BYTES) == 1).alias("whole")).withColumnRenamed("label", "of")
+    return rows.join(whole, F.col("label") == F.col("of")).drop("of")
+
+
+def _paired(rows: DataFrame, blocks: Column) -> DataFrame:
+    """``rows`` (set_id, label, band, bytes) of large groups with job, kind and
+    side: a set meets the blocks of its own band and of the two next to it."""
+    cuts = cut(rows.groupBy("label", "band").agg(blocks.alias("blocks")))
+    columns = rows.columns
     for name, step in (("own", 0), ("above", 1), ("below", -1)):
         side = cuts.select(F.col("label").alias("of"), (F.col("band") - step).alias("of_band"), F.col("blocks").alias(name))
         rows = rows.join(side, (F.col("label") == F.col("of")) & (F.col("band") == F.col("of_band")), "left").drop("of", "of_band")
@@ -441,11 +503,86 @@ def _jobs(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
         return F.transform(numbers, lambda j: F.struct(*(x.alias(k) for k, x in zip(("job", "kind", "side"), made(j), strict=True))))
 
     block, band = F.col("block"), F.col("band")
-    alone = F.array(F.struct(F.xxhash64("label").alias("job"), F.lit(0).alias("kind"), F.lit(0).alias("side")))
     own = each("own", lambda j: (F.xxhash64("label", band, F.least(block, j), F.lit(0), F.greatest(block, j)), F.when(block == j, 1).otherwise(2), F.when(block <= j, 0).otherwise(1)))
     above = each("above", lambda j: (F.xxhash64("label", band, block, F.lit(1), j), F.lit(2), F.lit(0)))
     below = each("below", lambda j: (F.xxhash64("label", band - 1, j, F.lit(1), block), F.lit(2), F.lit(1)))
-    return rows.select("set_id", "bytes", F.explode(F.when(F.col("whole"), alone).otherwise(F.concat(own, above, below))).alias("of")).select("set_id", "bytes", "of.job", "of.kind", "of.side")
+    return rows.select(*columns, F.explode(F.concat(own, above, below)).alias("pair")).select(*columns, "pair.job", "pair.kind", "pair.side")
+
+
+def _sketches(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray) -> DataFrame:
+    """set_id, size and sketch of sets that the bitmap may hold."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP_WORDS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            slots = ids & (BITMAP_WORDS * 64 - 1)
+            may = np.flatnonzero((shared.value[slots >> 6] >> (slots & 63)) & 1)
+            if len(may):
+                found = _sets_of([batch.column(1)[i].as_py() for i in may.tolist()], n)
+                own = np.searchsorted(bands(percent), [len(g) for g in found], side="right") - 1
+                made = [sketch(g, sketch_words(b, percent)).tobytes() for g, b in zip(found, own.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[may]), pa.array([len(g) for g in found], pa.int64()), pa.array(made, pa.binary())], ["set_id", "size", "sketch"])
+
+    return map_arrow(texts.select("set_id", "z"), run, "set_id long, size long, sketch binary")
+
+
+def _nearer(percent: int):
+    """A job's rows: kind (1: one block, 2: two), side (of two blocks), set_id,
+    size, sketch.  Gives a spanning forest of the pairs that may link."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids, size = (t.column(c).to_numpy() for c in ("side", "set_id", "size"))
+        sketches = t.column("sketch").to_pylist()
+        parts = [np.flatnonzero(side == k) for k in (0, 1)]
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(parts[0]) and (len(parts[1]) or t.column("kind")[0].as_py() == 1):
+            x, y = (np.frombuffer(b"".join(sketches[i] for i in part), np.uint64).reshape(len(part), -1) if len(part) else None for part in parts)
+            words = x.shape[1] if y is None else min(x.shape[1], y.shape[1])
+            a, b = near_pairs(folded(x, words), size[parts[0]], None if y is None else folded(y, words), size[parts[1]], percent)
+            ids = ids[np.concatenate(parts)]
+            a, b = ids[a], ids[b]
+        trim()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _refined(sets_of: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sets_of`` with large groups cut into those that sketches leave.
+
+    All pairs of sketches of a band, and of neighbouring bands, of a large
+    group are compared, so a link's two sets stay in one group; a set that no
+    other comes near is dropped.  A sketch has a few hundredths of its text's
+    bytes and blocks of them are larger, so what is moved stays near what it
+    is for each set.
+    """
+    rows = cut(_whole(sets_of))
+    large = rows.where("NOT whole").drop("whole")
+    if large.isEmpty():
+        return rows
+    made = _sketches(texts, n, percent, _bitmap(large.select("set_id")))
+    made = cut(large.select("set_id", "label", "band").join(made, "set_id").withColumn("bytes", F.length("sketch")))
+    pairs = _paired(made.drop("size", "sketch"), _blocks(SKETCHES, SKETCH_BYTES)).select("set_id", "job", "kind", "side")
+    pairs = pairs.join(made.select("set_id", "size", "sketch"), "set_id")
+    stars = cut(pairs.groupBy("job").applyInArrow(_nearer(percent), "a long, b long"))
+    parts = components(stars).select(F.col("node").alias("set_id"), F.col("label").alias("part"))
+    parts = large.join(parts, "set_id").select("set_id", F.col("part").alias("label"), "bytes", "band")
+    return cut(_whole(rows.where("whole").select("set_id", "label", "bytes", "band").unionByName(parts)))
+
+
+def _jobs(groups: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """set_id, bytes, job, kind and side: a row for each job that a set is in.
+
+    A block is bounded in sets and in bytes.  A group of one block is one job.
+    """
+    starts = F.array(*(F.lit(int(x)) for x in bands(percent)))
+    sets_of = groups.join(classes.select("set_id", "size"), F.col("node") == F.col("set_id")).drop("node")
+    sets_of = sets_of.join(texts.select("set_id", F.length("z").alias("bytes")), "set_id")
+    sets_of = sets_of.select("set_id", "label", "bytes", (F.size(F.filter(starts, lambda x: x <= F.col("size"))) - 1).alias("band"))
+    rows = _refined(sets_of, texts, n, percent)
+    alone = rows.where("whole").select("set_id", "bytes", F.xxhash64("label").alias("job"), F.lit(0).alias("kind"), F.lit(0).alias("side"))
+    return alone.unionByName(_paired(rows.where("NOT whole").drop("whole"), _blocks(GROUP, GROUP_BYTES)).select("set_id", "bytes", "job", "kind", "side"))
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -101,6 +101,49 @@ def test_jaccard_large_group_in_blocks(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == plain_components(plain_sets(rows, 3), 70)
 
 
+def test_jaccard_large_group_of_unlike_sets(spark, monkeypatch):
+    """Windows over one text chain by shared keys, and few are linked."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    rows = [(i, " ".join(f"w{j}" for j in range(8 * i, 8 * i + 30 + i % 3 * 9))) for i in range(200)]
+    rows += [(1000 + i, f"{t} more") for i, t in rows[::20]]
+    want, moved = plain_components(plain_sets(rows, 1), 80), []
+    jobs = jaccard._jobs
+    monkeypatch.setattr(jaccard, "_jobs", lambda *a: moved.append(jobs(*a)) or moved[-1])
+    for block in (1 << 14, 16):
+        monkeypatch.setattr(jaccard, "SKETCHES", block, raising=False)
+        got = jaccard.jaccard_join(docs_of(spark, *rows), 1, 80).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want
+        assert 20 <= moved[-1].count() < 3 * len(rows)
+
+
+def test_jaccard_sketches_lose_no_link():
+    rng = np.random.default_rng(6)
+    for percent in (50, 80, 85):
+        starts, made = jaccard.bands(percent), []
+        for _ in range(60):
+            a = rng.integers(0, 1 << 63, int(rng.integers(1, 150))).astype(np.uint64)
+            made += [a, *(np.unique(np.concatenate([a[k:], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + k))).astype(np.uint64)])) for k in range(len(a) // 3))]
+        of = np.searchsorted(starts, [len(g) for g in made], side="right") - 1
+        made = [(g, b, jaccard.sketch(g, jaccard.sketch_words(int(b), percent))) for g, b in zip(made, of, strict=True)]
+        for g, b, x in made:
+            for h, c, y in (made[int(i)] for i in rng.integers(0, len(made), 10)):
+                if len(x) <= len(y):
+                    differ = int(np.bitwise_count(x ^ jaccard.folded(y[None], len(x))[0]).sum())
+                    assert differ <= len(np.setxor1d(g, h))
+        for band in np.unique(of).tolist():
+            low = [(g, x) for g, b, x in made if b == band]
+            high = [(g, x) for g, b, x in made if b == band + 1]
+            for part in (None, high) if high else (None,):
+                every = low + (part or [])
+                words = min(len(x) for _, x in every)
+                x, y = (None if p is None else jaccard.folded(np.stack([s for _, s in p]), words) for p in (low, part))
+                sizes = [None if p is None else np.array([len(g) for g, _ in p]) for p in (low, part)]
+                nodes, to = components.least(*jaccard.near_pairs(x, sizes[0], y, sizes[1], percent))
+                root = dict(zip(nodes.tolist(), to.tolist(), strict=True))
+                i, j = jaccard.links([g for g, _ in low], None if part is None else [g for g, _ in part], percent)
+                assert all(root[p] == root[q] for p, q in zip(i.tolist(), (j + (0 if part is None else len(low))).tolist(), strict=True))
+
+
 def test_jaccard_keys_find_every_link():
     rng = np.random.default_rng(5)
     for percent in (60, 80, 85):

@@ -388,3 +388,25 @@ def test_blocked_files_are_read_in_parts(spark, tmp_path):
     head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little")
     (tmp_path / "u.bgz").write_bytes(head + body + zlib.crc32(inner).to_bytes(4, "little") + len(inner).to_bytes(4, "little"))
     assert read_text(spark, str(tmp_path / "u.bgz"), "a string, b string").collect() == [("a", "BC\x02\x00" + "z" * 90)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "outer"])
+def test_join_cuts_keys_with_many_pairs(spark, how, monkeypatch):
+    from tessera.operators import join as module
+
+    nan = float("nan")
+    left = frame(spark, "k double, j int, a int", *((k, j, i) for i, (k, j) in enumerate([(None, 1)] * 23 + [(0.0, 1), (-0.0, 1)] * 4 + [(nan, None)] * 7 + [(2.0, 1), (3.0, 1)])))
+    right = frame(spark, "k double, j int, b int", *((k, j, i) for i, (k, j) in enumerate([(None, 1)] * 17 + [(None, 2)] * 30 + [(0.0, 1)] * 5 + [(nan, None)] * 6 + [(3.0, 1), (4.0, 1)])))
+    third = frame(spark, "k double, j int, c int", *((k, j, i) for i, (k, j) in enumerate([(None, 1)] * 5 + [(-0.0, 1)] * 9 + [(5.0, 1)] * 3)))
+
+    def rows(f):
+        return sorted(map(repr, f.collect()))
+
+    joins = [lambda: join([left, right], ["k", desc("j")], how=how, sort=True), lambda: join([left, right, third], ["k", "j"], how=how, sort=True)]
+    want = [rows(j()) for j in joins]
+    for block, heavy in ((5, 30), (1, 0)):
+        monkeypatch.setattr(module, "BLOCK", block, raising=False)
+        monkeypatch.setattr(module, "HEAVY", heavy, raising=False)
+        assert [rows(j()) for j in joins] == want
+    of = joins[1]().to_spark().groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in of) < sum(r["count"] for r in of) / 5
